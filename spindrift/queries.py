@@ -1,0 +1,40 @@
+"""Registered queries over the core operators, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from spindrift.plans import hot_words
+
+
+def _t(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return p6_found(spark, d)
+
+
+def p6_found(spark, d):
+    return hot_words.leading_pages(*_t(spark, d, "inverted_index", "pages"))
+
+
+def p6_totals(spark, d):
+    return hot_words.weighted_totals(*_t(spark, d, "inverted_index", "pages", "idf"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_totals)}
+
+_WS = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+_VALID = rf"""valid AS (SELECT word, page_id, arg_max(frequency, indexed_at) AS frequency FROM (
+  SELECT regexp_replace(lower(word), '^{_WS}+|{_WS}+$', '', 'g') AS word, page_id, frequency, indexed_at FROM inverted_index
+  WHERE frequency > 0 AND page_id IN (SELECT id FROM pages)) WHERE word <> '' GROUP BY word, page_id)"""
+
+ORACLE: dict[str, str] = {
+    "p6_found": f"""WITH {_VALID}, n AS (SELECT *, count(*) OVER (PARTITION BY word) AS n, row_number() OVER (PARTITION BY word ORDER BY frequency DESC, page_id) AS k FROM valid)
+SELECT word, page_id FROM n WHERE k = 1 AND n >= 0.01 * (SELECT count(*) FROM valid)""",
+    "p6_totals": f"""WITH {_VALID}, w AS (SELECT regexp_replace(lower(word), '^{_WS}+|{_WS}+$', '', 'g') AS word, max(idf) AS idf FROM idf WHERE idf IS NOT NULL GROUP BY 1)
+SELECT word, count(*) AS n_rows, sum(frequency)::BIGINT AS total, round(sum(idf), 4) AS weight FROM valid JOIN w USING (word) GROUP BY word""",
+}
