@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import distinctive, frequencies, rank_walk, repeated_lines
+from spindrift.llm import distinctive, frequencies, leakage, near_duplicates, packing, rank_walk, repeated_lines
 
 
 def _t(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
@@ -53,8 +53,29 @@ def p7_walk(spark, d):
     return rank_walk.first_by_mass(rank_walk.fused_order(*_t(spark, d, "candidates", "pages", "source_info")))
 
 
+def p4_found(spark, d):
+    return near_duplicates.similar_pairs(*_t(spark, d, "pages"))
+
+
+def p8_found(spark, d):
+    return packing.cut_documents(*_t(spark, d, "documents"))
+
+
+def p8_packing(spark, d):
+    return packing.pack_documents(*_t(spark, d, "documents"))
+
+
+def p9_found(spark, d):
+    return leakage.leaks(*_t(spark, d, "documents", "eval_items"))
+
+
+def p9_similarity(spark, d):
+    found = leakage.leaked_items(*_t(spark, d, "documents", "eval_items"))
+    return found.where("longest_run >= 13 or similarity >= 0.8").select("doc_id", "item_id", "longest_run", F.round("similarity", 6).alias("similarity"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_divergence, p3_found, p3_clean, p3_blocks, p5_found, p5_counts, p7_found, p7_walk)
+    f.__name__: f for f in (p1_found, p1_divergence, p3_found, p3_clean, p3_blocks, p4_found, p5_found, p5_counts, p7_found, p7_walk, p8_found, p8_packing, p9_found, p9_similarity)
 }
 
 _WS = r"[\s\x1c-\x1f\x{85}\p{Z}]"
@@ -84,6 +105,18 @@ counts AS (SELECT word, coalesce(total, 0) AS total, coalesce(n_pages, 0) AS n_p
 marked AS (SELECT *, CASE WHEN n_pages < 3 THEN 'rare' WHEN n_pages * 2 > (SELECT count(DISTINCT page_id) FROM valid) THEN 'common' END AS mark FROM counts)"""
 
 ORACLE: dict[str, str] = {
+    "p4_found": """WITH rows AS (SELECT DISTINCT id, content FROM pages WHERE content <> '' AND id IS NOT NULL),
+words AS (SELECT id, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM rows),
+s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) AS s FROM words WHERE len(w) >= 3),
+h AS (SELECT id, hash(s) AS s FROM s), n AS (SELECT id, count(*) AS n FROM h GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM h a JOIN h b ON a.s = b.s AND a.id < b.id GROUP BY a.id, b.id)
+SELECT a AS page_a, b AS page_b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE k >= 0.7 * (x.n + y.n - k)""",
+    "p8_found": r"""SELECT DISTINCT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\pL\pN_]+|[^\pL\pN_\s\x1c-\x1f\x{85}\pZ]+')) > 1024""",
+    "p9_found": r"""WITH d AS (SELECT DISTINCT doc_id, list_transform(regexp_extract_all(text, '[\pL\pN]+'), lambda x: lower(x)) AS w FROM documents WHERE text <> ''),
+i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\pL\pN]+'), lambda x: lower(x)) AS w FROM eval_items),
+dw AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: hash(w[k:k+12]))) AS h FROM d WHERE len(w) >= 13),
+iw AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: hash(w[k:k+12]))) AS h FROM i WHERE len(w) >= 13)
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (h)""",
     "p1_found": f"""WITH {_VALID}, w AS (SELECT regexp_replace(lower(word), '^{_WS}+|{_WS}+$', '', 'g') AS word, max(idf) AS idf FROM idf WHERE idf IS NOT NULL GROUP BY 1),
 s AS (SELECT page_id, word, frequency * idf AS score FROM valid JOIN w USING (word))
 SELECT page_id, word FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, word) AS k FROM s) WHERE k = 1""",
