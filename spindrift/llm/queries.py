@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import distinctive, frequencies, leakage, near_duplicates, packing, rank_walk, repeated_lines
+from spindrift.llm import boilerplate, distinctive, frequencies, leakage, near_duplicates, packing, rank_walk, repeated_lines
 
 
 def _t(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
@@ -25,6 +25,14 @@ def p1_divergence(spark, d):
     return best.select("page_id", F.round("score", 6).alias("score"))
 
 
+def p2_found(spark, d):
+    return boilerplate.furniture_lines(*_t(spark, d, "pages"))
+
+
+def p2_content(spark, d):
+    return boilerplate.main_content(*_t(spark, d, "pages"))
+
+
 def p3_found(spark, d):
     return repeated_lines.find_repeated(*_t(spark, d, "pages"))
 
@@ -75,7 +83,7 @@ def p9_similarity(spark, d):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_divergence, p3_found, p3_clean, p3_blocks, p4_found, p5_found, p5_counts, p7_found, p7_walk, p8_found, p8_packing, p9_found, p9_similarity)
+    f.__name__: f for f in (p1_found, p1_divergence, p2_found, p2_content, p3_found, p3_clean, p3_blocks, p4_found, p5_found, p5_counts, p7_found, p7_walk, p8_found, p8_packing, p9_found, p9_similarity)
 }
 
 _WS = r"[\s\x1c-\x1f\x{85}\p{Z}]"
