@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import boilerplate, distinctive, frequencies, leakage, near_duplicates, packing, rank_walk, repeated_lines
+from spindrift.llm import boilerplate, distinctive, frequencies, language, leakage, near_duplicates, packing, rank_walk, repeated_lines
 
 
 def _t(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
@@ -82,8 +82,12 @@ def p9_similarity(spark, d):
     return found.where("longest_run >= 13 or similarity >= 0.8").select("doc_id", "item_id", "longest_run", F.round("similarity", 6).alias("similarity"))
 
 
+def p10_found(spark, d):
+    return language.language_corrections(*_t(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_divergence, p2_found, p2_content, p3_found, p3_clean, p3_blocks, p4_found, p5_found, p5_counts, p7_found, p7_walk, p8_found, p8_packing, p9_found, p9_similarity)
+    f.__name__: f for f in (p1_found, p1_divergence, p2_found, p2_content, p3_found, p3_clean, p3_blocks, p4_found, p5_found, p5_counts, p7_found, p7_walk, p8_found, p8_packing, p9_found, p9_similarity, p10_found)
 }
 
 _WS = r"[\s\x1c-\x1f\x{85}\p{Z}]"
