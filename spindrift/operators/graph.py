@@ -44,7 +44,10 @@ def dangling_pages(pages: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _solve(damping: float, max_iterations: int, tolerance: float):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts), ignore_index=True)
+        got = list(parts)
+        if not got:
+            return
+        rows = pd.concat(got, ignore_index=True)
         nodes = np.sort(rows.loc[rows["to_page"].isna(), "from_page"].to_numpy())
         edges = rows[rows["to_page"].notna()]
         if not len(nodes):
