@@ -9,16 +9,17 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spindrift.plans.runtime import counted, join_checked, materialize
+from spindrift.plans.runtime import counted, join_checked, join_split, materialize
 
 #: A fingerprint is SEGMENTS words of WIDTH symbols; a Hamming ball of radius 1 around a segment has one key for each position left open.
 SEGMENTS, WIDTH = 8, 5
 SYMBOLS = SEGMENTS * WIDTH
-#: Most members of a bucket that are paired directly; larger buckets are split by the keys of further segments.
+#: Members of a bucket that meet in one task; a larger bucket is paired in blocks of this size.
 BUCKET = 2_000
+#: Keys of several pages are broadcast up to this number (16 bytes each), else joined by a shuffle.
+BROADCAST_KEYS = 500_000
 _WORD = re.compile("[a-z0-9]+")
 _RNG = np.random.default_rng(20240607)
 _MUL = _RNG.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,36 +109,24 @@ def fingerprints(pages: DataFrame) -> DataFrame:
     return rows.mapInPandas(_features, "page_id long, set_a long, set_b long, bits_a long, bits_b long, print binary, keys array<long>")
 
 
-def _bucket_pairs(rows: DataFrame, most_bits: int) -> DataFrame:
-    """Pairs of members of the same bucket whose short codes are near; the test is part of the join."""
-    a = rows.select("key", F.col("page_id").alias("a"), F.col("bits_a").alias("_x"), F.col("bits_b").alias("_y"))
-    b = rows.select("key", F.col("page_id").alias("b"), F.col("bits_a").alias("_u"), F.col("bits_b").alias("_v"))
-    distance = F.bit_count(F.col("_x").bitwiseXOR(F.col("_u"))) + F.bit_count(F.col("_y").bitwiseXOR(F.col("_v")))
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & (distance <= most_bits)).select("a", "b")
-
-
 def candidate_pairs(prints: DataFrame, most_bits: int = 37, bucket: int = BUCKET) -> DataFrame:
-    """a, b: pairs that share a key and whose codes differ in at most ``most_bits`` of 120 bits.
+    """a, b: all pairs that share a key and whose codes differ in at most ``most_bits`` of 120 bits.
 
-    A bucket of more than ``bucket`` members isn't paired as it is: its rows get a key for each pair of theirs with a
-    later segment's key, level by level up to all segments, so nothing is dropped and no bucket is paired unsplit.
+    Keys of a single page are dropped first: the keys are counted with map-side combining, and those of several pages
+    are joined back.  A bucket of more than ``bucket`` members is cut into blocks of about that size; every block
+    meets the whole bucket in a task of its own, so no pair is lost and no task gets the whole product.  The test of
+    distance is part of the join, and only near pairs leave it.
     """
-    seg = F.expr(f"cast(pos / {WIDTH} as int)")
-    rows = prints.select("page_id", "bits_a", "bits_b", F.posexplode("keys").alias("pos", "key")).select("key", "page_id", "bits_a", "bits_b", seg.alias("segment"))
-    found = None
-    for level in range(1, SEGMENTS + 1):
-        sized = rows.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("_n > 1")
-        sized = materialize(sized, "buckets")
-        last = level == SEGMENTS
-        pairs = _bucket_pairs(sized if last else sized.where(F.col("_n") <= bucket), most_bits)
-        found = pairs if found is None else found.unionByName(pairs)
-        hot = sized.where(F.col("_n") > bucket)
-        if last or hot.isEmpty():
-            break
-        wider = hot.select("key", "page_id", "segment", "bits_a", "bits_b").join(prints.select("page_id", "keys"), "page_id")
-        wider = wider.select("key", "page_id", "bits_a", "bits_b", "segment", F.posexplode("keys").alias("pos", "_k")).withColumn("_s", seg).where("_s > segment")
-        rows = wider.select(F.xxhash64("key", "_k").alias("key"), "page_id", "bits_a", "bits_b", F.col("_s").alias("segment"))
-    return found.distinct()
+    rows = prints.select("page_id", "bits_a", "bits_b", F.explode("keys").alias("key"))
+    multi, n = counted(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    shared = rows.join(F.broadcast(multi), "key") if n <= BROADCAST_KEYS else join_split(rows, multi, ["key"], hot=multi.where(F.col("n") > bucket).select("key"))
+    shared = materialize(shared.withColumn("blocks", F.ceil(F.col("n") / bucket).cast("int")).drop("n"), "shared")
+    own = F.pmod(F.xxhash64("page_id"), F.col("blocks").cast("long")).cast("int")
+    a = shared.select("key", own.alias("block"), F.col("page_id").alias("a"), F.col("bits_a").alias("_x"), F.col("bits_b").alias("_y"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    b = shared.select("key", every.alias("block"), F.col("page_id").alias("b"), F.col("bits_a").alias("_u"), F.col("bits_b").alias("_v"))
+    distance = F.bit_count(F.col("_x").bitwiseXOR(F.col("_u"))) + F.bit_count(F.col("_y").bitwiseXOR(F.col("_v")))
+    return a.join(b, ["key", "block"]).where((F.col("a") < F.col("b")) & (distance <= most_bits)).select("a", "b").distinct()
 
 
 def _similar(threshold: float):
