@@ -36,7 +36,8 @@ def walk(values: np.ndarray, valid: np.ndarray, damping: float = 0.85, tol: floa
         x = np.take_along_axis(key, o, axis=1)
         first = np.ones((g, m), bool)
         first[:, 1:] = x[:, 1:] != x[:, :-1]
-        first[np.arange(g), np.minimum(n, m - 1)] = True
+        padded = np.flatnonzero(n < m)
+        first[padded, n[padded]] = True  # padding is no tie of the last item
         start = np.maximum.accumulate(np.where(first, np.arange(m), 0), axis=1)
         last = np.ones((g, m), bool)
         last[:, :-1] = first[:, 1:]
