@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import normalize_text, raw_tokens, snippet, tokenize_query, word_set
+from spindrift.functions.text import normalize_text, raw_tokens, snippet, tokenize_query
 from spindrift.functions.urls import canonical_url, has_banned_marker
 from spindrift.plans.runtime import join_checked
 
@@ -74,12 +74,18 @@ def _weight(source: Column) -> Column:
     return F.coalesce(F.try_element_at(table, source), F.lit(UNKNOWN_WEIGHT))
 
 
+def _has_word(clean: str, word: Column) -> Column:
+    """Whether a normalised text has a word: both are runs of a-z and 0-9 between single spaces, so no word set is built."""
+    space = F.lit(" ")
+    return F.contains(F.concat(space, F.col(clean), space), F.concat(space, word, space))
+
+
 def rank_features(scored: DataFrame, analyzed: DataFrame, prepared: DataFrame) -> DataFrame:
     """The candidates with their page and one column for each factor; pages that don't exist drop out."""
     found = scored.join(prepared, "page_id").join(F.broadcast(analyzed.select("query_id", "words", "terms", "clean", "what_is", "how")), "query_id")
-    found = found.where(~has_banned_marker(F.col("url"))).withColumn("_title_words", word_set(F.col("title_clean"))).withColumn("_content_words", word_set(F.col("content_clean")))
+    found = found.where(~has_banned_marker(F.col("url")))
     source = F.col("source")
-    in_title = F.size(F.filter("words", lambda w: F.array_contains(F.col("_title_words"), w)))
+    in_title = F.size(F.filter("words", lambda w: _has_word("title_clean", w)))
     preferred = (F.col("what_is") & (source == "wikipedia")) | (F.col("how") & source.isin(*HOW_SOURCES))
     factors = {
         "f_source": 0.7 + 0.3 * _weight(source),
@@ -91,10 +97,10 @@ def rank_features(scored: DataFrame, analyzed: DataFrame, prepared: DataFrame) -
         "f_authority": F.when(F.col("pagerank") > 0, 1 + 0.15 * F.least("pagerank", F.lit(1.0))),
         "f_title_match": F.when(in_title > 0, 1 + 0.2 * in_title),
         "f_phrase": F.when(F.contains(F.col("title_clean"), F.col("clean")), 1.5).when(F.contains(F.col("content_clean"), F.col("clean")), 1.2),
-        "f_coverage": F.when(F.size(F.array_except("terms", "_content_words")) == 0, 1.2),
+        "f_coverage": F.when(F.forall("terms", lambda w: _has_word("content_clean", w)), 1.2),
         "f_url": F.when(F.exists("terms", lambda w: F.contains(F.col("clean_url"), w)), 1.1),
     }
-    return found.select("*", *[F.coalesce(c.cast("double"), F.lit(1.0)).alias(k) for k, c in factors.items()]).drop("_title_words", "_content_words")
+    return found.select("*", *[F.coalesce(c.cast("double"), F.lit(1.0)).alias(k) for k, c in factors.items()])
 
 
 def final_scores(features: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
