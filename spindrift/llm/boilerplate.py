@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from spindrift.plans.runtime import join_checked, materialize
 
+#: Characters of a line that counts as a paragraph when a page's subject is looked for.
+LONG_LINE = 150
 _SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 #: A sentence's end, a list item, a quotation, a line of program code.
 _SENTENCE = rf"[.!][\"”')\]]*[{_SPACE}]*$"
@@ -43,11 +45,17 @@ def host_of(url: Column) -> Column:
 
 
 def _subject(title: Column, content: Column) -> Column:
-    """The title's word that is most frequent in the content: what the page is about (null without such a word)."""
+    """The title's word that is most frequent in the content's long lines, or else in all: what the page is about (null without such a word).
+
+    Long lines come first because menus and tools, which are short, repeat words that a title may also have.
+    """
     words = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z]+", " "), " "), lambda w: F.length(w) >= 4))
-    counted = F.transform(words, lambda w: F.struct(((F.length(content) - F.length(F.replace(content, w))) / F.length(w)).alias("n"), w.alias("w")))
-    best = F.array_max(F.filter(counted, lambda x: x["n"] > 0))
-    return best["w"]
+
+    def best(text: Column) -> Column:
+        counted = F.transform(words, lambda w: F.struct(((F.length(text) - F.length(F.replace(text, w))) / F.length(w)).alias("n"), w.alias("w")))
+        return F.array_max(F.filter(counted, lambda x: x["n"] > 0))["w"]
+
+    return F.coalesce(best(F.col("_long")), best(content))
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
@@ -59,6 +67,8 @@ def page_nodes(pages: DataFrame) -> DataFrame:
     rows = pages.where("id is not null and content <> ''").select(
         F.col("id").alias("page_id"), host_of(F.col("url")).alias("host"), "title", "content", F.lower("content").alias("_low")
     )
+    # A row of its own for the long lines: inside the lambda they would be put together for every word.
+    rows = rows.withColumn("_long", F.array_join(F.filter(F.split("_low", "\n"), lambda x: F.length(x) >= LONG_LINE), " "))
     rows = rows.withColumn("_subject", _subject(F.col("title"), F.col("_low"))).withColumn("_title", F.trim(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z]+", " ")))
     letters = F.split(F.regexp_replace("_low", "[^a-z\n]+", " "), "\n")
     rows = rows.select("page_id", "host", "_subject", "_title", F.arrays_zip(F.split("content", "\n").alias("text"), letters.alias("letters")).alias("_lines"))
@@ -126,18 +136,17 @@ def furniture_lines(pages: DataFrame, **thresholds) -> DataFrame:
         misspelt = F.lit(False)
     marked = join_checked(nodes, template.select("label", "heading"), ["label"], "left", label="template")
     constant = F.col("heading").isNotNull()
-    near_heading = (F.length("letters") >= 4) & (F.col("words") <= 4) & F.col("slot") & misspelt
+    near_heading = (F.length("letters") >= 4) & (F.col("words") <= 4) & misspelt
     state = (
         F.when(constant, F.when(F.col("heading"), "content").otherwise("template"))
         .when(F.col("body"), "content")
-        .when(F.col("about"), "title")
-        .when(near_heading, "content")
+        .when(F.col("about") | near_heading, "title")
         .otherwise("template")
     )
     lines = materialize(marked.select("page_id", "line_no", state.alias("state"), F.col("body").alias("body")), "states")
     last = lines.where("state = 'content' and body").groupBy("page_id").agg(F.max("line_no").alias("_last"))
     titles = lines.where("state = 'title'").select("page_id", "line_no").distinct()
-    # A line about the page is its title or a heading as long as content follows; behind it, it is an entry of a list of pages.
+    # A line about the page, or a misspelt heading, belongs to the article as long as content follows; behind it, it is an entry of a list of pages.
     behind = titles.join(last, "page_id", "left").where("_last is null or line_no > _last")
     return lines.where("state = 'template'").select("page_id", "line_no").unionByName(behind.select("page_id", "line_no")).distinct()
 
