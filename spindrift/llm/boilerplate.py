@@ -3,7 +3,7 @@
 A page's text is read as a tree: the root holds the lines as nodes, a line holds its words; a short line above content
 is the head of a section.  Trees of pages of one host are aligned by simple tree matching.  Because nodes match by
 label and a line's label is its letters, the matches of a node summed over all pages of the host are the number of
-pages that have its label: the induction needs one aggregation per host and label, and no pair of pages is ever
+pages that have its label (copies of a page count once): the induction needs one aggregation per host and label, and no pair of pages is ever
 formed (``tree_matching`` is the pairwise definition; the tests hold the sums against it).  Nodes that stay constant
 over a host's pages are its template, the varying slots between them are content, with two exceptions a tree shows:
 a constant node whose slot is content in nearly all pages is a heading of the content; and a varying node that holds
@@ -97,23 +97,43 @@ def page_nodes(pages: DataFrame) -> DataFrame:
     )
 
 
+def copied_pages(nodes: DataFrame, least_own: float = 0.3) -> DataFrame:
+    """page_id, copy: the pages whose body is that of other pages, and the group of copies that each belongs to.
+
+    A body line is the page's own if it stands on no other page.  A page of whose body words less than ``least_own`` are in own
+    lines is a copy, with or without small changes; the group is named by the least hash of the lines that it shares.
+    """
+    several = nodes.select("label", "page_id").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("label", F.lit(True).alias("_met"))
+    lines = join_checked(nodes.where("body").select("page_id", "label", "words"), several, ["label"], "left", label="several")
+    own = F.sum(F.when(F.col("_met"), 0).otherwise(F.col("words")))
+    return lines.groupBy("page_id").agg(own.alias("_own"), F.sum("words").alias("_all"), F.min(F.when(F.col("_met"), F.col("label"))).alias("copy")).where(F.col("_own") < least_own * F.col("_all")).select("page_id", "copy")
+
+
 def induce_template(
-    nodes: DataFrame, n_pages: DataFrame, host_share: float = 0.02, host_pages: int = 6, all_share: float = 0.004, all_pages: int = 4, slot_share: float = 0.75
+    nodes: DataFrame, copies: DataFrame, host_share: float = 0.02, host_pages: int = 6, all_share: float = 0.004, all_pages: int = 4, slot_share: float = 0.75
 ) -> DataFrame:
     """label, letters, heading: the nodes that are constant over the pages of a host, or over the collection.
 
-    ``letters`` is only given for headings: constant nodes of at most four words that have content in their slot in at
-    least ``slot_share`` of their places.  A host has at most (mean nodes a page / host_share) constant nodes.
+    Support is the number of different bodies: a page counts once however many rows it has and however often a line
+    stands on it, and a group of ``copies`` (page_id, copy) counts as one page, so a line that only copies share isn't
+    constant.  ``letters`` is only given for headings: constant nodes of at most four words that have content in their slot in
+    at least ``slot_share`` of their places.  A host has at most (mean nodes a page / host_share) constant nodes.
     """
-    by_host = nodes.groupBy("host", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("slot").cast("long")).alias("n_slot"), F.min("letters").alias("letters"))
-    hosts = join_checked(by_host.where(F.col("n") > 1), n_pages, ["host"], label="hosts")
-    constant = (F.col("n") >= host_pages) & (F.col("n") >= host_share * F.col("host_n"))
-    labels = hosts.groupBy("label").agg(
-        F.sum("n").alias("n"), F.sum("n_slot").alias("n_slot"), F.min("letters").alias("letters"), F.max(constant.cast("int")).alias("there")
-    )
-    total = n_pages.agg(F.sum("host_n").alias("_all"))
-    kept = labels.crossJoin(F.broadcast(total)).where("there = 1 or n >= {} and n >= {} * _all".format(all_pages, all_share))
-    heading = F.col("letters").isNotNull() & (F.col("letters") != "") & (F.col("n_slot") >= slot_share * F.col("n"))
+    bodies = join_checked(nodes.select("page_id", "host").distinct(), copies, ["page_id"], "left", label="copies")
+    bodies = materialize(bodies.select("page_id", "host", F.coalesce("copy", F.xxhash64("page_id", F.lit("page"))).alias("_body")), "bodies")
+    sized = bodies.groupBy("host").agg(F.count_distinct("_body").alias("host_n"))
+    total = bodies.agg(F.count_distinct("_body").alias("_all"))
+    places = nodes.groupBy("label", "host", "page_id").agg(F.avg(F.col("slot").cast("int")).alias("slot"), F.min("letters").alias("letters"))
+    # Copies can only lower a label's support: what stands on too few pages is dropped before the pages' bodies are looked up.
+    least = places.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min(host_pages, all_pages)).select("label")
+    places = join_checked(places, least, ["label"], "left_semi", label="frequent")
+    places = join_checked(places, bodies, ["page_id", "host"], label="bodies")
+    places = materialize(places.groupBy("label", "host", "_body").agg(F.avg("slot").alias("slot"), F.min("letters").alias("letters")), "places")
+    by_host = join_checked(places.groupBy("label", "host").agg(F.count(F.lit(1)).alias("n")), sized, ["host"], label="hosts")
+    constant = by_host.where((F.col("n") >= host_pages) & (F.col("n") >= host_share * F.col("host_n"))).select("label").distinct().withColumn("there", F.lit(True))
+    labels = places.groupBy("label").agg(F.count_distinct("_body").alias("n"), F.avg("slot").alias("slot"), F.min("letters").alias("letters"))
+    kept = labels.join(constant, "label", "left").crossJoin(F.broadcast(total)).where("there or n >= {} and n >= {} * _all".format(all_pages, all_share))
+    heading = F.col("letters").isNotNull() & (F.col("letters") != "") & (F.col("slot") >= slot_share)
     return kept.select("label", heading.alias("heading"), F.when(heading, F.col("letters")).alias("letters"), (F.col("n") >= all_share * F.col("_all")).alias("wide"))
 
 
@@ -124,9 +144,8 @@ def furniture_lines(pages: DataFrame, **thresholds) -> DataFrame:
     empty content gives no row; repeated rows of a page count once; very long lines are sentences like any other.
     """
     nodes = materialize(page_nodes(pages), "nodes")
-    sized = pages.where("id is not null and content <> ''").groupBy(host_of(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("host_n"))
-    sized = materialize(sized, "hosts")
-    template = materialize(induce_template(nodes, sized, **thresholds), "template")
+    copies = materialize(copied_pages(nodes), "copies")
+    template = materialize(induce_template(nodes, copies, **thresholds), "template")
     # Headings that are constant over the whole collection: at most (mean nodes a page / all_share) short strings.
     headings = [r["letters"] for r in template.where("heading and wide").select("letters").collect()]
     if headings:

@@ -154,3 +154,36 @@ def test_near_duplicates(spark, monkeypatch, bucket):
 
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates.similar_pairs(frame(spark, [])).collect() == []
+
+
+def copied_site(n_copies=20, n_own=40):
+    """Pages of one host: own articles, and copies of one article with a line changed in some; each row may be repeated."""
+    rng = random.Random(5)
+    prose = lambda: "The " + " ".join("".join(rng.choices("bcdfghklm", k=6)) for _ in range(18)) + "."
+    article, rows = [prose() for _ in range(8)], []
+    for k in range(n_copies + n_own):
+        body = list(article) if k < n_copies else [prose() for _ in range(8)]
+        if k < n_copies and k % 3 == 0:
+            body[k % 8] = body[k % 8].replace(" ", " surely ", 1)
+        rows.append((k, f"https://h.example/{k}", "Of gronks", "\n".join(["You may refuse our cookies here.", *body, "All of it is ours."]), "s"))
+    return rows
+
+
+def test_lines_of_copies_are_no_template(spark):
+    rows = copied_site()
+    got = {tuple(r) for r in boilerplate.furniture_lines(frame(spark, rows)).collect()}
+    assert got == {(k, n) for k, *_ in rows for n in (1, 10)}
+
+
+def test_support_counts_pages_not_rows(spark):
+    rows = copied_site(0)
+    again = "\n".join([rows[0][3].split("\n")[1]] * 8)
+    rows[0] = (*rows[0][:3], rows[0][3] + "\n" + again, "s")
+    got = {tuple(r) for r in boilerplate.furniture_lines(frame(spark, rows + [rows[1]] * 30)).collect()}
+    assert got == {(k, n) for k, *_ in rows for n in (1, 10)}
+
+
+def test_support_of_the_collection_counts_hosts_with_one_page(spark):
+    prose = lambda k, j: f"The {'abcdefghij'[k % 10] * 5} {'klmnopqrst'[k // 10] * 5} {'uvwxyz'[j] * 5} has many parts that nobody has named yet."
+    rows = [(k, f"https://h{k}.example/", None, "\n".join([*(prose(k, j) for j in range(6)), "All of it is ours."]), "s") for k in range(30)]
+    assert {tuple(r) for r in boilerplate.furniture_lines(frame(spark, rows)).collect()} == {(k, 7) for k in range(30)}
