@@ -187,3 +187,18 @@ def test_support_of_the_collection_counts_hosts_with_one_page(spark):
     prose = lambda k, j: f"The {'abcdefghij'[k % 10] * 5} {'klmnopqrst'[k // 10] * 5} {'uvwxyz'[j] * 5} has many parts that nobody has named yet."
     rows = [(k, f"https://h{k}.example/", None, "\n".join([*(prose(k, j) for j in range(6)), "All of it is ours."]), "s") for k in range(30)]
     assert {tuple(r) for r in boilerplate.furniture_lines(frame(spark, rows)).collect()} == {(k, 7) for k in range(30)}
+
+
+def test_pairs_far_in_code_are_candidates(spark):
+    rows = [(1, 0, 0, [5, 6]), (2, (1 << 44) - 1, 0, [6, 7]), (3, 0, (1 << 45) - 1, [5, 8])]
+    prints = spark.createDataFrame(rows, "page_id long, bits_a long, bits_b long, keys array<long>")
+    assert [tuple(r) for r in near_duplicates.candidate_pairs(prints).collect()] == [(1, 2)]
+
+
+def test_pairs_at_the_threshold_with_odd_fingerprints(spark):
+    rows = []
+    for seed in (364, 1186, 6475, 11043):  # their codes differ in 38 to 42 bits, their similarity is 29 / 41
+        rng = random.Random(seed)
+        w = [f"w{rng.randrange(10**6)}" for _ in range(37)]
+        rows += [(2 * seed, "u", "t", " ".join(w), "s"), (2 * seed + 1, "u", "t", " ".join([*w[:12], "other", *w[13:33], "another", *w[34:]]), "s")]
+    assert {tuple(r) for r in near_duplicates.similar_pairs(frame(spark, rows)).collect()} == jaccard_pairs(rows, 0.7) == {(r[0], r[0] + 1) for r in rows[::2]}
