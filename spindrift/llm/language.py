@@ -199,13 +199,29 @@ def _text_lines(text: str) -> list[tuple[int, str, int]]:
 _models: dict[str, ByteTagger] = {}
 
 
-def train(rows: list[tuple[str, str]], steps: int = 400, hidden: int = 24) -> ByteTagger:
-    """A tagger from (text, code) rows whose labels are partly wrong.
+def backed_classes(evidence: np.ndarray, y: np.ndarray, counts: np.ndarray, least_backed: float = 0.05) -> np.ndarray:
+    """Numbers of the classes that their own lines bear out, given each line's evidence (lines, classes) and the texts of each label.
 
-    Half of the windows also occur without accents.  After a first fit, lines for which another language is more
-    probable than the label are left out, which takes out wrong labels and foreign passages; a second fit follows.
+    The sample has as many texts of a rare label as of a frequent one, so a label that only stands wrongly on texts of another
+    language would share their evidence evenly.  Weighed by how many texts are labelled so, such lines go to the true
+    language; lines of a language of its own stay, however rare it is.  The most frequent label is always kept.
     """
-    digest = hashlib.sha256(repr((rows, steps, hidden)).encode()).hexdigest()
+    weighed = evidence + np.log(np.maximum(counts, 1))
+    rows = np.arange(len(y))
+    own = weighed[rows, y]
+    weighed[rows, y] = -np.inf
+    backed = own >= weighed.max(axis=1) + _PRIOR
+    return np.array([k for k in range(len(counts)) if k == counts.argmax() or (backed[y == k].mean() if (y == k).any() else 0.0) >= least_backed])
+
+
+def train(rows: list[tuple[str, str]], steps: int = 400, hidden: int = 24, counts: dict[str, int] | None = None) -> ByteTagger:
+    """A tagger from (text, code) rows whose labels are partly wrong; ``counts`` are the labelled texts of each language.
+
+    Half of the windows also occur without accents.  After a first fit, classes that their lines don't bear out are
+    dropped (``backed_classes``), and lines for which another language is more probable than the label are left out,
+    which takes out wrong labels and foreign passages; a second fit follows.
+    """
+    digest = hashlib.sha256(repr((rows, steps, hidden, counts)).encode()).hexdigest()
     if digest in _models:
         return _models[digest]
     classes = sorted({code for _, code in rows})
@@ -224,28 +240,35 @@ def train(rows: list[tuple[str, str]], steps: int = 400, hidden: int = 24) -> By
         own = [x if i % 3 else fold(x) for i, x in enumerate(lines) if keep[i]]
         x, owner = windows_of(own)
         model.fit(x, y[keep][owner], int(steps * share), rate=rate)
-        keep = line_scores(model, lines).argmax(axis=1) == y
+        scores = line_scores(model, lines)
+        if counts and keep.all():
+            size = np.array([len(x.encode("utf-8", "replace")) for x in lines])
+            kept = backed_classes(scores * (size * _POSITIONS_A_BYTE)[:, None], y, np.array([counts[c] for c in classes]))
+            if len(kept) < len(classes):
+                model.classes = [classes[k] for k in kept]
+                model.p["v"], model.p["c"] = model.p["v"][:, :, kept], model.p["c"][kept]
+                stay = np.isin(y, kept)
+                lines, y, scores = [x for x, ok in zip(lines, stay) if ok], np.searchsorted(kept, y[stay]), scores[stay][:, kept]
+            counts = None
+        keep = scores.argmax(axis=1) == y
     _models.clear()
     _models[digest] = model
     return model
 
 
-def training_rows(documents: DataFrame, docs_a_language: int = 250, least_share: float = 0.003) -> list[tuple[str, str]]:
-    """Labelled texts for the fit: about ``docs_a_language`` of each language that at least ``least_share`` of the labelled rows name.
+def training_rows(documents: DataFrame, docs_a_language: int = 250) -> tuple[list[tuple[str, str]], dict[str, int]]:
+    """Labelled texts for the fit, about ``docs_a_language`` of each language that a label names, and the number of texts so labelled.
 
-    The sample is bounded by these parameters (at most 1 / least_share languages) and drawn by the hash of the id;
-    texts are whole.
+    The sample is bounded by this parameter and the table of languages, and drawn by the hash of the id; texts are whole.
     """
     labelled = documents.where("text <> '' and doc_id is not null").select("doc_id", "text", named_language(F.col("lang")).alias("code")).where("code is not null")
     counts = {r["code"]: r["n"] for r in labelled.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row a known language
-    total = sum(counts.values())
-    used = {c: n for c, n in counts.items() if n >= least_share * total}
-    if not used:
-        return []
-    size = F.create_map(*[F.lit(x) for c, n in used.items() for x in (c, n)])
-    chosen = labelled.where(F.col("code").isin(*used)).where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.element_at(size, F.col("code"))) < docs_a_language)
-    rows = chosen.orderBy("doc_id", "text").limit(2 * docs_a_language * len(used)).collect()
-    return [(r["text"], r["code"]) for r in rows]
+    if not counts:
+        return [], counts
+    size = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, n)])
+    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.element_at(size, F.col("code"))) < docs_a_language)
+    rows = chosen.orderBy("doc_id", "text").limit(2 * docs_a_language * len(counts)).collect()
+    return [(r["text"], r["code"]) for r in rows], counts
 
 
 #: A line is held foreign if its evidence, of so many independent positions a byte, outweighs the prior for the main language.
@@ -299,10 +322,10 @@ def label_languages(documents: DataFrame, docs_a_language: int = 250, steps: int
     """
     schema = "doc_id long, line_no int, lang string, confidence double, words int, main boolean"
     spark = documents.sparkSession
-    rows = training_rows(documents, docs_a_language)
+    rows, counts = training_rows(documents, docs_a_language)
     if not rows:
         return spark.createDataFrame([], schema)
-    model = train(rows, steps)
+    model = train(rows, steps, counts=counts)
     texts = documents.where("text <> '' and doc_id is not null").select("doc_id", "text")
     return texts.mapInPandas(_label(spark.sparkContext.broadcast(model)), schema)
 

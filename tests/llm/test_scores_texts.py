@@ -217,3 +217,14 @@ def test_named_languages(spark):
     cases = {"en": "en", "EN-gb": "en", " Deu ": "de", "pt_BR": "pt", "Spanish": "es", "xx": None, "": None, None: None, "unknown": None, "ger": "de"}
     got = spark.createDataFrame([(k,) for k in cases], "v string").select("v", language.named_language(F.col("v")).alias("o")).collect()
     assert {r["v"]: r["o"] for r in got} == cases
+
+
+def test_rare_languages_are_kept_and_wrong_labels_are_none(spark):
+    rng = random.Random(9)
+    rows = [(k, _text(rng, "en", 14), "en") for k in range(4800)]
+    rows += [(k, "\n".join(_text(rng, "fr", 14) for _ in range(4)), "fr") for k in range(5000, 5012)]
+    rows += [(k, _text(rng, "en", 14), "it") for k in range(6000, 6016)]
+    rows += [(k, "\n".join([_text(rng, "en", 14), _text(rng, "en", 14), _text(rng, "fr", 14)]), "en") for k in range(7000, 7010)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {tuple(r) for r in language.language_corrections(df, docs_a_language=40, steps=150).collect()}
+    assert got == {(k, 0, "en") for k in range(6000, 6016)} | {(k, 3, "fr") for k in range(7000, 7010)}
