@@ -1,10 +1,10 @@
-"""Main content of pages: a wrapper induced from aligned trees of each host's pages.
+"""Main content of pages: a template induced from the lines of each host's pages.
 
 A page's text is read as a tree: the root holds the lines as nodes, a line holds its words; a short line above content
-is the head of a section.  Trees of pages of one host are aligned by simple tree matching.  Because nodes match by
-label and a line's label is its letters, the matches of a node summed over all pages of the host are the number of
-pages that have its label (copies of a page count once): the induction needs one aggregation per host and label, and no pair of pages is ever
-formed (``tree_matching`` is the pairwise definition; the tests hold the sums against it).  Nodes that stay constant
+is the head of a section.  No trees are aligned: nodes match by label, a line's label is its letters, and a node's
+support is the number of pages that have its label (copies of a page count once), from one aggregation per host and
+label.  Where labels are unique on a page and stand in one order on all pages, that equals the matches of simple tree
+matching (``tree_matching``) summed over all pairs of pages; elsewhere the order is not looked at.  Nodes that stay constant
 over a host's pages are its template, the varying slots between them are content, with two exceptions a tree shows:
 a constant node whose slot is content in nearly all pages is a heading of the content; and a varying node that holds
 no sentence of its own and isn't about the page is a slot of the template (teasers, pagers, tag lists, adverts).
