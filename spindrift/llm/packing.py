@@ -1,9 +1,8 @@
-"""Whole texts into containers of fixed capacity: greedy fill, then swap-based local search."""
+"""Whole texts into containers of fixed capacity: a plain start, then swap-based local search."""
 
 from __future__ import annotations
 
 import bisect
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,108 +23,129 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_TOKEN)), F.lit(0)).cast("long")
 
 
-class _Stock:
-    """Items by size, with the largest size not above a limit found by bisection."""
+class Container:
+    """Items of one container by size, and the sums that one or two of them can take out of it.
 
-    def __init__(self, sizes: list[int]):
-        self.by_size: dict[int, list[int]] = defaultdict(list)
-        for i, s in enumerate(sizes):
-            self.by_size[s].append(i)
-        self.sizes = sorted(self.by_size)
+    Only distinct sizes matter to an exchange.  Those of a container of capacity c are fewer than sqrt(2 c), so all its
+    pairs are at most c, however many items it holds.
+    """
+
+    def __init__(self) -> None:
+        self.fill, self.changes = 0, 0
+        self.by_size: dict[int, list[int]] = {}
+        self._sums: tuple[list[int], list[int], list[tuple[int, int]]] | None = None
 
-    def take(self, limit: int) -> int | None:
-        at = bisect.bisect_right(self.sizes, limit) - 1
-        if at < 0:
-            return None
-        size = self.sizes[at]
+    def add(self, item: int, size: int) -> None:
+        self.by_size.setdefault(size, []).append(item)
+        self.fill += size
+        self.changes += 1
+        self._sums = None
+
+    def take(self, size: int) -> int:
         item = self.by_size[size].pop()
         if not self.by_size[size]:
             del self.by_size[size]
-            del self.sizes[at]
+        self.fill -= size
+        self.changes += 1
+        self._sums = None
         return item
 
+    def sums(self) -> tuple[list[int], list[int], list[tuple[int, int]]]:
+        """Sizes in order; sums of two items in order, and the two sizes of each."""
+        if self._sums is None:
+            sizes = sorted(self.by_size)
+            pairs = sorted((x + y, x, y) for k, x in enumerate(sizes) for y in sizes[k if len(self.by_size[x]) > 1 else k + 1 :])
+            self._sums = sizes, [p[0] for p in pairs], [p[1:] for p in pairs]
+        return self._sums
+
+    def items(self) -> list[int]:
+        return [i for held in self.by_size.values() for i in held]
 
-def greedy(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Containers filled one after the other, each with the largest item that still fits."""
-    stock, bins = _Stock(sizes), []
-    while stock.sizes:
-        gap, items = capacity, []
-        while (i := stock.take(gap)) is not None:
-            items.append(i)
-            gap -= sizes[i]
-        bins.append(items)
-    return bins
 
+def next_fit(sizes: list[int], capacity: int) -> list[Container]:
+    """The plain start: items in the order given, each into the last container if it fits, else into a new one."""
+    out: list[Container] = []
+    for item, size in enumerate(sizes):
+        if not out or out[-1].fill + size > capacity:
+            out.append(Container())
+        out[-1].add(item, size)
+    return out
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, rounds: int = 20) -> list[list[int]]:
-    """Moves and exchanges between underfull containers while they raise the sum of squared fills; emptied containers go.
 
-    A fuller container takes from an emptier one: a single item that fits (move), an item for a smaller one
-    (one-for-one), two items for one smaller than both together, or one item for two of its own that are smaller
-    together (two-for-one).  Each step moves fill from the emptier to the fuller side, so the sum of squares grows.
+def exchange(a: Container, b: Container, capacity: int) -> bool:
+    """The exchange that fills ``a`` most at the cost of ``b``, which isn't fuller, if any.
+
+    One item of ``b`` moves into ``a``; or one or two go there for one of ``a``'s, or one for two, which are smaller together.  What
+    ``a`` gains, ``b`` loses, and ``a`` was the fuller one, so the sum of squared fills grows.
     """
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        changed = False
-        open_ = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (-fill[b], b))
-        lo, hi = 0, len(open_) - 1
-        # The emptiest container gives, all fuller ones take, from the fullest on.
-        while lo < hi:
-            giver = open_[hi]
-            for a in open_[lo:hi]:
-                if not bins[giver]:
+    gap = capacity - a.fill
+    (ones, twos, split), (mine, my_twos, my_split) = b.sums(), a.sums()
+    gain, move = 0, None
+    for taken, sums, leaving in ((0, ones, (0,)), (1, ones, mine), (2, twos, mine), (3, ones, my_twos)):
+        for k, size in enumerate(leaving):
+            at = bisect.bisect_right(sums, size + gap) - 1
+            if at >= 0 and sums[at] - size > gain:
+                gain, move = sums[at] - size, (taken, at, k)
+                if gain == gap:
                     break
-                changed |= _exchange(bins, fill, sizes, a, giver, capacity)
-            hi -= 1
-        if not changed:
+        if gain == gap:
             break
-    return [b for b in bins if b]
-
-
-def _exchange(bins: list[list[int]], fill: list[int], sizes: list[int], a: int, b: int, capacity: int) -> bool:
-    """The exchange that fills ``a`` most at the cost of ``b``, if any."""
-    gap = capacity - fill[a]
-    if gap <= 0 or fill[a] < fill[b]:
-        return False
-    own, other = [(0, ())], []
-    own += [(sizes[i], (i,)) for i in bins[a]]
-    singles = bins[a][:40]
-    own += [(sizes[i] + sizes[j], (i, j)) for k, i in enumerate(singles) for j in singles[k + 1 :]]
-    other += [(sizes[i], (i,)) for i in bins[b]]
-    singles = bins[b][:40]
-    other += [(sizes[i] + sizes[j], (i, j)) for k, i in enumerate(singles) for j in singles[k + 1 :]]
-    other.sort()
-    totals = [x[0] for x in other]
-    best, gain = None, 0
-    for size, items in own:
-        at = bisect.bisect_right(totals, size + gap) - 1
-        # two-for-two isn't among the moves
-        while at >= 0 and totals[at] - size > gain:
-            if len(items) + len(other[at][1]) <= 3:
-                best, gain = (items, other[at][1]), totals[at] - size
-                break
-            at -= 1
-    if best is None:
+    if move is None:
         return False
-    out, into = best
-    bins[a] = [i for i in bins[a] if i not in out] + list(into)
-    bins[b] = [i for i in bins[b] if i not in into] + list(out)
-    fill[a] += gain
-    fill[b] -= gain
+    taken, at, k = move
+    into = split[at] if taken == 2 else (ones[at],)
+    out = () if taken == 0 else my_split[k] if taken == 3 else (mine[k],)
+    there, here = [(b.take(x), x) for x in into], [(a.take(x), x) for x in out]
+    for item, size in there:
+        a.add(item, size)
+    for item, size in here:
+        b.add(item, size)
     return True
 
 
-def pack(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Greedy fill; then local search over the containers left underfull, in groups of like fill so that its cost stays linear."""
-    bins = greedy(sizes, capacity)
-    room = [capacity - sum(sizes[i] for i in b) for b in bins]
-    full = [b for b, r in zip(bins, room) if r == 0]
-    under = [b for b, r in sorted(zip(bins, room), key=lambda x: x[1]) if r > 0]
-    # Emptiest and fullest containers meet in one group: the k-th group takes every n-th container of the order.
-    n = max(1, len(under) // 60)
-    for k in range(n):
-        full += local_search([list(b) for b in under[k::n]], sizes, capacity)
-    return full
+def local_search(bins: list[Container], capacity: int) -> list[Container]:
+    """Exchanges between underfull containers until none raises the sum of squared fills; emptied containers go.
+
+    The emptiest container gives first, to all fuller ones from the fullest on.  A pair is tried again only when one of the two
+    has changed.  The sum is a growing whole number with a bound, so the search ends by itself.
+    """
+    tried: dict[tuple[int, int], tuple[int, int]] = {}
+    open_ = [x for x in bins if 0 < x.fill < capacity]
+    changed = True
+    while changed:
+        changed = False
+        open_ = sorted((x for x in open_ if 0 < x.fill < capacity), key=lambda x: -x.fill)
+        for hi in range(len(open_) - 1, 0, -1):
+            giver = open_[hi]
+            for taker in open_[:hi]:
+                if not giver.fill:
+                    break
+                if taker.fill == capacity or taker.fill < giver.fill:
+                    continue
+                pair, state = (id(taker), id(giver)), (taker.changes, giver.changes)
+                if tried.get(pair) == state:
+                    continue
+                if exchange(taker, giver, capacity):
+                    changed = True
+                else:
+                    tried[pair] = state
+    return [x for x in bins if x.fill]
+
+
+def pack(sizes: list[int], capacity: int, group: int = 48) -> list[list[int]]:
+    """Plain start, then local search in groups of underfull containers; what stays underfull meets again in new groups.
+
+    Each round's groups take every n-th container by fill, so full and empty ones meet; the rounds end when one group holds all
+    that are left, or when a round empties none.
+    """
+    done, under = [], next_fit(sizes, capacity)
+    while True:
+        done += [x for x in under if x.fill == capacity]
+        under = sorted((x for x in under if x.fill < capacity), key=lambda x: -x.fill)
+        n, before = max(1, len(under) // group), len(under)
+        under = [x for k in range(n) for x in local_search(under[k::n], capacity)]
+        if n == 1 or sum(x.fill < capacity for x in under) == before:
+            return [x.items() for x in done + under]
 
 
 def _pack_shards(capacity: int):
@@ -142,9 +162,8 @@ def _pack_shards(capacity: int):
 
     def done(pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = pdf["tokens"].tolist()
-        bins = pack(sizes, capacity)
         container = np.empty(len(sizes), np.int64)
-        for k, b in enumerate(bins):
+        for k, b in enumerate(pack(sizes, capacity)):
             container[b] = k
         return pdf.assign(container=container)[["doc_id", "piece", "pieces", "tokens", "shard", "container"]]
 
@@ -155,31 +174,29 @@ def pack_documents(documents: DataFrame, capacity: int = 1024, items_a_shard: in
     """doc_id, piece, pieces, tokens, shard, container: where each document, or each piece of a longer one, goes.
 
     A document of at most ``capacity`` tokens stays whole.  A longer one is cut into full pieces, each a container of
-    its own (shard -1), and a rest that is packed like a short document.  Items are spread by a hash over shards of
-    bounded size; (shard, container) names a container.  Only ids and sizes are moved, never texts.
+    its own (shard -1), and a rest that is packed like a short document.  Rows are spread by a hash of their place in the
+    table over shards of bounded size; (shard, container) names a container.  Only ids and sizes are moved, never texts.
 
     Null and empty texts and texts without tokens take no room and give no row; each row counts as a document, equal
     ids and equal texts included; an empty table gives no row.
     """
-    counts = documents.select("doc_id", token_count(F.col("text")).alias("n")).where("n > 0")
+    counts = documents.select("doc_id", token_count(F.col("text")).alias("n")).where("n > 0").withColumn("_row", F.monotonically_increasing_id())
     counts = materialize(counts, "sizes")
     spark = documents.sparkSession
     total = counts.count()
     shards = max(1, -(-total // items_a_shard))
-    pieces = F.ceil(F.col("n") / capacity).cast("long")
-    sized = counts.withColumn("pieces", pieces)
+    sized = counts.withColumn("pieces", F.ceil(F.col("n") / capacity).cast("long"))
     rest = sized.withColumn("tokens", F.col("n") - (F.col("pieces") - 1) * capacity).where("tokens > 0")
-    # Rows are spread by their place in the table too, so that repeated ids don't meet in one shard.
-    keyed = rest.select("doc_id", F.col("pieces").alias("piece"), "pieces", "tokens", F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)).cast("int").alias("shard"))
+    keyed = rest.select("doc_id", F.col("pieces").alias("piece"), "pieces", "tokens", F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int").alias("shard"), "_row")
     partitions = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = keyed.repartition(partitions, "shard").sortWithinPartitions("shard", F.col("tokens").desc(), "doc_id").mapInPandas(
+    packed = keyed.repartition(partitions, "shard").sortWithinPartitions("shard", "_row").mapInPandas(
         _pack_shards(capacity), "doc_id long, piece long, pieces long, tokens long, shard int, container long"
     )
     cut = sized.where("pieces > 1").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("pieces") - 1)).alias("piece"), "pieces")
-    full = cut.select("doc_id", "piece", "pieces", F.lit(capacity).cast("long").alias("tokens"), F.lit(-1).alias("shard"), F.xxhash64("doc_id", "piece").alias("container"))
+    full = cut.select("doc_id", "piece", "pieces", F.lit(capacity).cast("long").alias("tokens"), F.lit(-1).alias("shard"), F.monotonically_increasing_id().alias("container"))
     return packed.unionByName(full)
 
 
 def cut_documents(documents: DataFrame, capacity: int = 1024) -> DataFrame:
-    """doc_id of the documents that the packing had to cut."""
-    return pack_documents(documents, capacity).where("pieces > 1").select("doc_id").distinct()
+    """doc_id of the documents that the packing had to cut: those of which it placed more than one piece."""
+    return pack_documents(documents, capacity).where("piece > 1").select("doc_id").distinct()
