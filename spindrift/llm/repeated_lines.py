@@ -1,4 +1,4 @@
-"""Lines repeated over the documents of one source."""
+"""Lines repeated over the documents of one source: blocks of a graph of consecutive lines."""
 
 from __future__ import annotations
 
@@ -20,32 +20,35 @@ def _lines(content: Column) -> Column:
 
 
 def line_table(pages: DataFrame) -> DataFrame:
-    """page_id, source, ord, line_no, node: the lines that count; ``node`` is the hash of a line's letters."""
-    rows = pages.where("id is not null and content <> ''").select(F.col("id").alias("page_id"), source_name(F.col("source")).alias("source"), "content")
-    lines = rows.select("page_id", "source", F.posexplode(_lines(F.col("content"))).alias("ord", "_l"))
-    return lines.select("page_id", "source", "ord", F.col("_l.line_no").alias("line_no"), F.xxhash64("_l.key").alias("node"))
+    """page_id, source, line_no, node, next: the lines that count; ``node`` is the hash of a line's letters, ``next`` the node of the line that follows."""
+    rows = pages.where("id is not null and content <> ''").select(F.col("id").alias("page_id"), source_name(F.col("source")).alias("source"), _lines(F.col("content")).alias("_l"))
+    rows = rows.select("page_id", "source", F.transform("_l", lambda x: F.struct(x["line_no"].alias("no"), F.xxhash64(x["key"]).alias("node"))).alias("_n")).where(F.size("_n") > 0)
+    after = F.concat(F.slice(F.col("_n.node"), F.lit(2), F.size("_n")), F.array(F.lit(None).cast("long")))
+    lines = rows.select("page_id", "source", F.explode(F.arrays_zip(F.col("_n.no").alias("no"), F.col("_n.node").alias("node"), after.alias("next"))).alias("_l"))
+    return lines.select("page_id", "source", F.col("_l.no").alias("line_no"), F.col("_l.node").alias("node"), F.col("_l.next").alias("next"))
 
 
-def repeated_nodes(pages: DataFrame, min_pages: int = 8, min_share: float = 0.05) -> DataFrame:
+def repeated_nodes(lines: DataFrame, pages: DataFrame, min_pages: int = 8, min_share: float = 0.05) -> DataFrame:
     """source, node, n_pages: the high-support nodes of each source's graph of lines.
 
-    Support is the number of distinct pages.  It is counted from distinct (source, line, page) hashes, never from a
+    Support is the number of distinct pages.  Counted from (source, line, page) hashes, never from a
     source's rows in one task, and whole texts are not moved.
     """
-    nodes = line_table(pages).select("source", "node", "page_id").distinct().groupBy("source", "node").agg(F.count(F.lit(1)).alias("n_pages"))
+    nodes = lines.select("source", "node", "page_id").distinct().groupBy("source", "node").agg(F.count(F.lit(1)).alias("n_pages"))
     sizes = pages.where("id is not null and content <> ''").select(source_name(F.col("source")).alias("source"), "id").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("size"))
     frequent = join_checked(nodes.where(F.col("n_pages") >= min_pages), sizes, ["source"], label="sources")
     return frequent.where(F.col("n_pages") >= min_share * F.col("size")).select("source", "node", "n_pages")
 
 
-def _with_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Adds ``bad``: the frequent nodes of the row's source.  They are few for each source, however large it is."""
-    return join_checked(rows, nodes.groupBy("source").agg(F.collect_set("node").alias("bad")), ["source"], rows=BROADCAST_SOURCES, label="nodes")
-
+def occurrences(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """page_id, source, line_no, node, next of every occurrence of a high-support node; repeated rows of a page count once.
 
-def occurrences(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """page_id, source, ord, line_no, node of every occurrence of a high-support node; repeated rows of a page count once."""
-    return _with_nodes(line_table(pages), nodes).where(F.array_contains("bad", F.col("node"))).drop("bad").distinct()
+    The frequent nodes of a source are few, however large it is, so each row looks its own up in its source's list.
+    ``next`` is null where the following line isn't frequent.
+    """
+    known = join_checked(lines, nodes.groupBy("source").agg(F.collect_set("node").alias("bad")), ["source"], rows=BROADCAST_SOURCES, label="nodes")
+    frequent = known.where(F.array_contains("bad", F.col("node")))
+    return frequent.withColumn("next", F.when(F.array_contains("bad", F.col("next")), F.col("next"))).drop("bad").distinct()
 
 
 def _components(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -69,38 +72,45 @@ def _components(pdf: pd.DataFrame) -> pd.DataFrame:
 def repeated_blocks(found: DataFrame, nodes: DataFrame, min_pages: int = 8) -> DataFrame:
     """source, node, block: connected components of the graph of consecutive lines, over nodes and edges of high support.
 
-    A node's edges are its followers on a page.  ``nodes`` bounds what one group can hold: a source has at most
-    (mean lines a page / min_share) frequent nodes, and edges are kept only between those and from ``min_pages`` pages on.
+    An edge weighs as many pages as have its two lines one after the other.  ``nodes`` bounds what one group can hold: a
+    source has at most (mean lines a page / min_share) frequent nodes, and edges are kept only between those and from
+    ``min_pages`` pages on.  A frequent line without such an edge is a block of its own.
     """
-    here = found.select("source", "page_id", "ord", F.col("node").alias("a"))
-    after = found.select("source", "page_id", (F.col("ord") - 1).alias("ord"), F.col("node").alias("b"))
-    edges = here.join(after, ["source", "page_id", "ord"]).groupBy("source", "a", "b").agg(F.countDistinct("page_id").alias("n")).where(F.col("n") >= min_pages)
+    pairs = found.where("next is not null").select("source", F.col("node").alias("a"), F.col("next").alias("b"), "page_id").distinct()
+    edges = pairs.groupBy("source", "a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     both = edges.select("source", "a", "b").unionByName(nodes.select("source", F.col("node").alias("a"), F.col("node").alias("b")))
     return both.groupBy("source").applyInPandas(_components, "source string, node long, block long")
 
 
+def _graph(pages: DataFrame, min_pages: int, min_share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(occurrences, nodes, blocks) of the pages' lines; texts are read once."""
+    lines = materialize(line_table(pages), "lines")
+    nodes = materialize(repeated_nodes(lines, pages, min_pages, min_share), "nodes")
+    found = materialize(occurrences(lines, nodes), "occurrences")
+    return found, nodes, materialize(repeated_blocks(found, nodes, min_pages), "blocks")
+
+
 def find_repeated(pages: DataFrame, min_pages: int = 8, min_share: float = 0.05) -> DataFrame:
-    """page_id, line_no of every repeated line.
+    """page_id, line_no of every repeated line: the occurrences of the lines of all boilerplate blocks.
 
     A null source is ``other``; pages without id or content give nothing; lines of fewer than four words of letters
     don't count; a line twice on a page is one page of support and two occurrences; an empty table gives no row.
     """
-    nodes = materialize(repeated_nodes(pages, min_pages, min_share), "nodes")
-    return occurrences(pages, nodes).select("page_id", "line_no").distinct()
+    found, _, blocks = _graph(pages, min_pages, min_share)
+    return join_checked(found, blocks, ["source", "node"], label="blocks").select("page_id", "line_no").distinct()
 
 
 def block_report(pages: DataFrame, min_pages: int = 8, min_share: float = 0.05) -> DataFrame:
     """source, block, n_lines, n_pages: the boilerplate blocks of each source and the support of their strongest line."""
-    nodes = materialize(repeated_nodes(pages, min_pages, min_share), "nodes")
-    blocks = repeated_blocks(occurrences(pages, nodes), nodes, min_pages)
+    _, nodes, blocks = _graph(pages, min_pages, min_share)
     return blocks.join(nodes, ["source", "node"]).groupBy("source", "block").agg(F.count(F.lit(1)).alias("n_lines"), F.max("n_pages").alias("n_pages"))
 
 
 def clean_content(pages: DataFrame, min_pages: int = 8, min_share: float = 0.05) -> DataFrame:
-    """page_id, content: each page with content, without its repeated lines (texts stay where they are read)."""
-    nodes = materialize(repeated_nodes(pages, min_pages, min_share), "nodes")
+    """page_id, content: each page with content, without the lines of its source's boilerplate blocks (texts stay where they are read)."""
+    _, _, blocks = _graph(pages, min_pages, min_share)
     rows = pages.where("id is not null and content <> ''").select(F.col("id").alias("page_id"), source_name(F.col("source")).alias("source"), "content")
-    marked = join_checked(rows, nodes.groupBy("source").agg(F.collect_set("node").alias("bad")), ["source"], "left", rows=BROADCAST_SOURCES, label="nodes")
+    marked = join_checked(rows, blocks.groupBy("source").agg(F.collect_set("node").alias("bad")), ["source"], "left", rows=BROADCAST_SOURCES, label="blocks")
     kept = F.filter(
         F.split("content", "\n"),
         lambda x: ~F.coalesce(F.array_contains("bad", F.xxhash64(F.trim(F.regexp_replace(F.lower(x), "[^a-z]+", " ")))), F.lit(False)),

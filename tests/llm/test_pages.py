@@ -72,6 +72,18 @@ def test_cleaned_content_and_blocks(spark):
     assert report == {(2, 8), (1, 8)}
 
 
+def test_edges_need_support(spark):
+    """Lines that follow each other on few pages are blocks of their own; all their occurrences count."""
+    rows = []
+    for k in range(12):
+        a, b = "the first of two lines", "the second of two lines"
+        lines = [a, b] if k < 3 else [a, f"an own line {'xyz'[k % 3] * (k + 1)} of this page", b]
+        rows.append((k, None, None, "\n".join([*lines, "the end of every page", "of all of the site"]), "s"))
+    report = sorted(r["n_lines"] for r in repeated_lines.block_report(frame(spark, rows), 8, 0.1).collect())
+    assert report == [1, 3]
+    assert {tuple(r) for r in repeated_lines.find_repeated(frame(spark, rows), 8, 0.1).collect()} == brute_repeated(rows, 8, 0.1)
+
+
 def test_tree_matching_sums_are_label_counts():
     leaf = lambda *x: tuple((a, ()) for a in x)
     assert boilerplate.tree_matching(("r", leaf("a", "b", "c")), ("r", leaf("a", "c", "d"))) == 3
