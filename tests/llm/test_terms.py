@@ -53,6 +53,19 @@ def test_most_telling(spark):
     assert got.columns == ["page_id", "word"] and sorted(map(tuple, got.collect())) == [(1, "leaf"), (2, "tea")]
 
 
+def test_stored_weights_take_the_place_of_the_log_ratio(spark):
+    weights = spark.createDataFrame([("tea", 0.5), ("cup", -1.0), ("solo", 0.0)], "word string, idf double")
+    got = {(r["word"], r["page_id"]): (r["score"], r["evidence"]) for r in distinctive.term_divergence(postings(spark), mu=0.0, weights=weights).collect()}
+    size = {1: 4, 2: 2, 3: 4, 4: 7}
+    idf = {"tea": 0.5, "cup": -1.0, "solo": 0.0}
+    assert got == {(w, p): (pytest.approx(f * idf[w] / size[p]), f * idf[w]) for w, p, f in ROWS if w in idf}
+
+
+def test_terms_equal_after_division_only_are_told_apart(spark):
+    scored = spark.createDataFrame([(1, "a", 0.25, 1.0), (1, "b", 0.25, 1.5)], "page_id long, word string, score double, evidence double")
+    assert [r["word"] for r in distinctive.top_terms(scored).collect()] == ["b"]
+
+
 def ngrams(docs, n):
     total, records = Counter(), defaultdict(set)
     for d, words in docs.items():
