@@ -96,15 +96,62 @@ def test_packing_properties(spark):
     assert packing.pack_documents(df.limit(0)).collect() == []
 
 
+def held(bins, sizes, capacity):
+    """Containers with the given items."""
+    out = []
+    for items in bins:
+        out.append(packing.Container())
+        for i in items:
+            out[-1].add(i, sizes[i])
+    return out
+
+
 def test_local_search_empties_bins():
     sizes = [60, 60, 40, 40, 30, 30, 20, 20]
     bins = [[0, 4], [1, 5], [2, 3], [6, 7]]  # fills 90, 90, 80, 40
-    out = packing.local_search([list(b) for b in bins], sizes, 100)
+    out = [x.items() for x in packing.local_search(held(bins, sizes, 100), 100)]
     square = lambda bs: sum(sum(sizes[i] for i in b) ** 2 for b in bs)
     assert sorted(i for b in out for i in b) == list(range(8)) and all(sum(sizes[i] for i in b) <= 100 for b in out)
     assert len(out) == 3 and square(out) > square(bins)
 
 
+@pytest.mark.parametrize("bins, sizes, fills", [
+    ([[0], [1]], [60, 40], [100, 0]),  # a move
+    ([[0, 1], [2]], [50, 30, 45], [95, 30]),  # one for one
+    ([[0, 1], [2, 3]], [50, 30, 25, 25], [100, 30]),  # two for one
+    ([[0, 1, 2], [3]], [50, 20, 20, 45], [95, 40]),  # one for two
+    ([[0], [1]], [70, 40], [70, 40]),
+])
+def test_exchanges(bins, sizes, fills):
+    a, b = held(bins, sizes, 100)
+    assert packing.exchange(a, b, 100) == (fills != [sum(sizes[i] for i in x) for x in bins])
+    assert [a.fill, b.fill] == fills and sorted(a.items() + b.items()) == list(range(len(sizes)))
+
+
+def test_search_does_what_the_plain_start_leaves():
+    rng = random.Random(4)
+    sizes = [rng.choice([rng.randrange(1, 300), rng.randrange(1, 1000), 512]) for _ in range(3000)]
+    bins = packing.pack(sizes, 1024)
+    assert sorted(i for b in bins for i in b) == list(range(3000)) and max(sum(sizes[i] for i in b) for b in bins) <= 1024
+    least = -(-sum(sizes) // 1024)
+    assert len(bins) <= least * 1.01 + 1 and len(packing.next_fit(sizes, 1024)) > 1.1 * len(bins)
+
+
+def test_containers_of_many_small_items():
+    sizes = [k % 7 + 1 for k in range(4000)]
+    assert len(packing.pack(sizes, 1024)) <= -(-sum(sizes) // 1024) + 1
+
+
+def test_equal_ids_share_no_container(spark):
+    df = spark.createDataFrame([(3, "w " * 250)] * 2 + [(3, "w " * 40)] * 3, "doc_id long, text string")
+    got = packing.pack_documents(df, 100).collect()
+    fill = {}
+    for r in got:
+        fill[r["shard"], r["container"]] = fill.get((r["shard"], r["container"]), 0) + r["tokens"]
+    assert sum(fill.values()) == 620 and max(fill.values()) <= 100 and len(fill) == 7
+    assert [tuple(r) for r in packing.cut_documents(df, 100).collect()] == [(3,)]
+
+
 def longest_common_run(a, b):
     best, row = 0, [0] * (len(b) + 1)
     for x in a:
@@ -147,22 +194,39 @@ def test_near_windows_are_found():
     a = [f"w{k}" for k in range(40)]
     index = leakage.ItemIndex([" ".join(a)], [7], 13)
     bits = leakage._Bits()
-    rows, other = index.near(leakage.simhash_windows(bits.rows(a), bits.table, 13))
+    rows, other = index.near(leakage.simhash_windows(bits.rows(a), bits.table, 13), 13)
     assert {(r, o) for r, o in zip(rows.tolist(), other.tolist())} >= {(k, k) for k in range(28)}
     assert index.verify(a, 0, [(0, 0)]) == (40, pytest.approx(1.0))
     b = a[:20] + ["other"] + a[21:]
     assert index.verify(b, 0, [(0, 0), (21, 21)])[0] == 20 and 0.8 < index.verify(b, 0, [(0, 0)])[1] < 1
 
 
+def test_short_items_have_windows_of_their_own_length(spark):
+    df = spark.createDataFrame([(1, "a b, it is the CAT of (the) house there"), (2, "the cat of the barn"), (3, "cat the of house")], "doc_id long, text string")
+    it = spark.createDataFrame([(7, "The cat of the house"), (8, "cat"), (9, "!!")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["longest_run"], r["similarity"]) for r in leakage.leaked_items(df, it).where("longest_run > 0").collect()}
+    assert got == {(1, 7): (5, 1.0), (1, 8): (1, 1.0), (2, 8): (1, 1.0), (3, 8): (1, 1.0)}
+    assert leakage.leaks(df, it).collect() == []
+
+
+def test_weights_are_those_of_all_items(spark):
+    words = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(words[: 20 + k])) for k in range(9)]
+    df = spark.createDataFrame([(1, " ".join(words[:20] + ["x"] + words[20:26]))], "doc_id long, text string")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    all_, split = ({(r["doc_id"], r["item_id"]): r["similarity"] for r in leakage.leaked_items(df, it, items_a_block=n).collect()} for n in (100, 2))
+    assert split == pytest.approx(all_) and len(all_) == 9 and all_[1, 0] == pytest.approx(1) and all_[1, 8] < 0.8
+
+
 def test_gradients():
     model = language.ByteTagger(["a", "b", "c"], hidden=4)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
     rng = np.random.default_rng(0)
-    x = rng.integers(1, 6, (3, 7)).astype(np.uint8)
+    x = rng.integers(1, 6, (3, 8)).astype(np.uint8)
     x[0, 5:] = 0
     y = np.array([0, 1, 2])
     _, grads = model.gradients(x, y)
-    for name, at in (("u", (0, 1, 2)), ("u", (1, 3, 11)), ("u", (0, 2, 5)), ("v", (1, 2, 0)), ("c", (1,)), ("w", (int(x[1, 2]), 3)), ("w", (256 + int(x[2, 0]), 9))):
+    for name, at in (("u", (0, 1, 2)), ("u", (1, 3, 11)), ("u", (0, 2, 5)), ("v", (1, 2, 0)), ("c", (1,)), ("w", (2 * 256 + int(x[1, 2]), 3)), ("w", ((4 + 0) * 256 + int(x[2, 4]), 9))):
         old, eps = model.p[name][at], 1e-3
         ends = []
         for d in (eps, -eps):
@@ -172,6 +236,17 @@ def test_gradients():
         assert grads[name][at] == pytest.approx((ends[0] - ends[1]) / (2 * eps), rel=2e-2, abs=2e-4)
 
 
+def test_scores_without_new_arrays_are_those_of_the_forward_pass():
+    model = language.ByteTagger(["a", "b", "c"], hidden=5)
+    rng = np.random.default_rng(3)
+    x = rng.integers(1, 250, (37, 64)).astype(np.uint8)
+    for k in range(37):
+        x[k, int(rng.integers(0, 65)) :] = 0
+    labels = (x.reshape(37, 16, 4) != 0).sum(axis=2).T
+    assert model.window_scores(x, batch=10) == pytest.approx((model.forward(x) * labels[..., None]).sum(axis=0), abs=1e-3)
+    assert language.line_scores(model, ["a line", "another", "a line", ""])[[0, 3]] == pytest.approx(language.line_scores(model, ["a line", ""]), abs=1e-5)
+
+
 WORDS = {
     "en": "the and of with house river under green every which after about stone never they bring", "de": "der und von mit haus fluss unter grün jeder welche nach über stein niemals bringen schön",
     "fr": "le et de avec maison fleuve sous vert chaque lequel après sur pierre jamais apporter été",
