@@ -84,15 +84,65 @@ def test_edges_need_support(spark):
     assert {tuple(r) for r in repeated_lines.find_repeated(frame(spark, rows), 8, 0.1).collect()} == brute_repeated(rows, 8, 0.1)
 
 
-def test_tree_matching_sums_are_label_counts():
-    leaf = lambda *x: tuple((a, ()) for a in x)
-    assert boilerplate.tree_matching(("r", leaf("a", "b", "c")), ("r", leaf("a", "c", "d"))) == 3
+def test_alignment_is_tree_matching():
+    leaf = lambda x: ("r", tuple((a, ()) for a in x))
+    assert boilerplate.tree_matching(leaf("abc"), leaf("acd")) == 3 and boilerplate.tree_matching(leaf("ab"), leaf("ba")) == 2
     assert boilerplate.tree_matching(("r", ()), ("q", ())) == 0
-    pages = [["menu", "x1", "legal"], ["menu", "x2", "x3", "legal"], ["menu", "legal"], ["x4", "legal"]]
-    support = {w: sum(w in p for p in pages) for p in pages for w in p}
-    for p in pages:
-        matched = sum(boilerplate.tree_matching(("r", leaf(*p)), ("r", leaf(*q))) - 1 for q in pages)
-        assert matched == sum(support[w] for w in p)
+    rng = random.Random(7)
+    for _ in range(300):
+        tree, page = [rng.choices(range(6), k=rng.randrange(0, 9)) for _ in range(2)]
+        found = boilerplate.align(boilerplate.places_of(tree), page)
+        assert len(found) + 1 == boilerplate.tree_matching(leaf(tree), leaf(page))
+        assert all(tree[p] == page[k] for k, p in found) and all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:]))
+
+
+def test_folded_tree_has_every_label_in_order():
+    assert boilerplate.fold_trees([[1, 0, 9], [1, 2, 0, 8, 9], [3, 1, 0, 9], []]) == [3, 1, 2, 0, 8, 9]
+    assert sorted(boilerplate.fold_trees([[1, 2, 3], [3, 2, 1, 4]])) == [1, 2, 3, 4]
+
+
+def test_moved_lines_are_template(spark):
+    """The site's lines in another order on every page, before and behind the article, are found all the same."""
+    rng, rows, truth = random.Random(2), [], set()
+    site = ["Home | Search | Help", "You may refuse our cookies here.", "All of it is ours.", "Share this page", "Our other sites"]
+    for k in range(60):
+        order = rng.sample(site, 5)
+        at = rng.randrange(6)
+        body = [f"The {''.join(rng.choices('bcdfgh', k=7))} has {''.join(rng.choices('klmnp', k=6))} parts that nobody named." for _ in range(3)]
+        lines = order[:at] + body + order[at:]
+        truth |= {(k, n) for n, x in enumerate(lines, 1) if x in site}
+        rows.append((k, "https://h.example/x", None, "\n".join(lines), "s"))
+    assert {tuple(r) for r in boilerplate.furniture_lines(frame(spark, rows)).collect()} == truth
+
+
+def test_lines_in_other_scripts(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("абвгдежзиклмнопрст", k=7))
+    rows = [(k, "https://h.example/x", word(), "\n".join(["Главная | Поиск", *(" ".join(word() for _ in range(9)) + "." for _ in range(3)), "Все права у нас"]), "s") for k in range(40)]
+    assert {tuple(r) for r in boilerplate.furniture_lines(frame(spark, rows)).collect()} == {(k, n) for k in range(40) for n in (1, 5)}
+
+
+def test_lines_without_letters(spark):
+    """Code ends and bare numbers stay in the article; bare numbers behind it are a pager's."""
+    rng = random.Random(4)
+    prose = lambda: "The " + " ".join("".join(rng.choices("bcdfghklm", k=6)) for _ in range(12)) + "."
+    rows = [(k, "https://h.example/x", None, "\n".join(["Home | Help", prose(), f"call_{'abcdefghij'[k % 10]}{'klmn'[k // 10]}(1) {{", "}", "42", prose(), "17"]), "s") for k in range(40)]
+    assert {tuple(r) for r in boilerplate.furniture_lines(frame(spark, rows)).collect()} == {(k, n) for k in range(40) for n in (1, 7)}
+
+
+def test_passages_taken_from_page_to_page_are_content(spark):
+    """A long sentence that stands inside the articles of many pages is no template; a notice of its kind around them is."""
+    rng = random.Random(6)
+    prose = lambda: "The " + " ".join("".join(rng.choices("bcdfghklm", k=6)) for _ in range(14)) + "."
+    taken = "One sentence that every tenth page of this host has taken from the first, word by word."
+    notice = "We keep some of your answers for as long as you read the pages of this host."
+    rows = []
+    for k in range(80):
+        body = [prose() for _ in range(6)]
+        if k % 4 == 0:
+            body[3] = taken
+        rows.append((k, "https://h.example/x", None, "\n".join([notice, *body, "Home | Help"]), "s"))
+    assert {tuple(r) for r in boilerplate.furniture_lines(frame(spark, rows)).collect()} == {(k, n) for k in range(80) for n in (1, 8)}
 
 
 def wrapped(k, host, subject):
