@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import fold_word
+from spindrift.functions.text import fold_word, raw_tokens
 from spindrift.operators.postings import valid_postings
-from spindrift.plans.runtime import counted, materialize
+from spindrift.plans.runtime import BROADCAST_ROWS, counted, join_split, materialize
 
 #: A hot first term is spread so that a task gets about this many of its suffixes.
 ROWS_A_TASK = 500_000
@@ -63,7 +63,7 @@ def _stack_counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame()
 
 
-def suffix_counts(suffixes: DataFrame, partitions: int | None = None) -> DataFrame:
+def suffix_counts(suffixes: DataFrame, partitions: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """ngram, total, n_records of every n-gram that is a prefix of a suffix.
 
     ``suffixes`` has suffix (array of terms), record and weight; a suffix of a record should stand once.  Rows are
@@ -78,13 +78,31 @@ def suffix_counts(suffixes: DataFrame, partitions: int | None = None) -> DataFra
     # At most (rows / ROWS_A_TASK) first terms can be hot; the list is counted by its construction.
     heads = rows.groupBy("_first").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ROWS_A_TASK)
     hot, n_hot = counted(heads.select("_first", F.ceil(F.col("_n") / ROWS_A_TASK).cast("int").alias("_split")), "hot")
-    spread = rows.join(F.broadcast(hot), "_first", "left") if 0 < n_hot <= 200_000 else rows.join(hot, "_first", "left") if n_hot else rows.withColumn("_split", F.lit(None).cast("int"))
+    if not n_hot:
+        spread = rows.withColumn("_split", F.lit(None).cast("int"))
+    elif n_hot <= broadcast_rows:
+        spread = rows.join(F.broadcast(hot), "_first", "left")
+    else:
+        spread = join_split(rows, hot, ["_first"], "left")
     keyed = spread.withColumn("_salt", F.pmod(F.xxhash64("record"), F.coalesce("_split", F.lit(1)).cast("long")))
     routed = keyed.repartition(*([partitions] if partitions else []), "_first", "_salt").sortWithinPartitions(F.col("suffix").desc()).select("suffix", "record", "weight")
     partial = routed.mapInPandas(_stack_counts, "ngram array<string>, total long, n_records long")
     return partial.groupBy("ngram").agg(F.sum("total").alias("total"), F.sum("n_records").alias("n_records"))
 
 
+def text_ngrams(docs: DataFrame, record: str, text: str, longest: int = 3, least_records: int = 3, most_share: float = 0.5) -> DataFrame:
+    """ngram (terms joined by spaces), n, total, n_records, mark: every sequence of up to ``longest`` terms of the texts.
+
+    Terms are runs of a-z and 0-9 in lower case.  ``mark`` is ``rare`` below ``least_records`` records, ``common`` above
+    ``most_share`` of all records with a term, else null.  Null records and texts without terms don't count; rows of one record count as one.
+    """
+    terms = docs.where(F.col(record).isNotNull()).select(F.col(record).alias("_record"), raw_tokens(F.col(text)).alias("_terms")).where(F.size("_terms") > 0)
+    counts = suffix_counts(text_suffixes(terms, "_terms", "_record", longest))
+    n_records = terms.agg(F.count_distinct("_record").alias("_all"))
+    mark = F.when(F.col("n_records") < least_records, "rare").when(F.col("n_records") > most_share * F.col("_all"), "common")
+    return counts.crossJoin(F.broadcast(n_records)).select(F.array_join("ngram", " ").alias("ngram"), F.size("ngram").cast("long").alias("n"), "total", "n_records", mark.alias("mark"))
+
+
 def word_counts(index: DataFrame, pages: DataFrame, idf: DataFrame) -> DataFrame:
     """word, total, n_pages, mark: every word of valid index rows or of ``idf`` (0 pages if only there).
 

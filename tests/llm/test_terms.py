@@ -87,6 +87,22 @@ def test_suffix_counts(spark, monkeypatch, rows_a_task):
     assert {tuple(r["ngram"]): (r["total"], r["n_records"]) for r in got.collect()} == ngrams(docs, 3)
 
 
+def test_hot_terms_beyond_the_broadcast_limit(spark, monkeypatch):
+    monkeypatch.setattr(frequencies, "ROWS_A_TASK", 3)
+    docs = {d: list("aabac"[d % 3 :]) for d in range(12)}
+    df = spark.createDataFrame(list(docs.items()), "doc long, words array<string>")
+    got = frequencies.suffix_counts(frequencies.text_suffixes(df, "words", "doc", 2), broadcast_rows=0)
+    assert {tuple(r["ngram"]): (r["total"], r["n_records"]) for r in got.collect()} == ngrams(docs, 2)
+
+
+def test_text_ngrams(spark):
+    texts = {1: "The cat. The CAT", 2: "the cat", 3: "the dog", 4: None, 5: "--", 6: "the"}
+    df = spark.createDataFrame([*texts.items(), (None, "the cat"), (2, "the cat")], "doc long, text string").withColumn("ngram", F.lit("clash"))
+    got = {r["ngram"]: (r["n"], r["total"], r["n_records"], r["mark"]) for r in frequencies.text_ngrams(df, "doc", "text", 2, least_records=2, most_share=0.5).collect()}
+    assert got["the"] == (1, 6, 4, "common") and got["the cat"] == (2, 4, 2, None) and got["cat the"] == (2, 1, 1, "rare") and got["dog"] == (1, 1, 1, "rare")
+    assert set(got) == {"the", "cat", "dog", "the cat", "cat the", "the dog"} and frequencies.text_ngrams(df.limit(0), "doc", "text").collect() == []
+
+
 def test_suffix_counts_of_odd_rows(spark):
     rows = [(["a"], 1, 2), ([], 1, 5), (None, 1, 5), (["a"], None, 5), (["a", "b"], 2, 1), (["x" * 50_000], 3, 1)]
     got = frequencies.suffix_counts(spark.createDataFrame(rows, "suffix array<string>, record long, weight long"))
