@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.plans.runtime import join_checked, materialize, source_name
+from spindrift.plans.runtime import BROADCAST_ROWS, join_checked, materialize, source_name
 
 #: Groups up to this many items are solved whole in one task, many at once; larger ones by the distributed walk.
 GROUP_ROWS = 20_000
@@ -115,41 +115,57 @@ def _small_groups(rows: DataFrame, group: str, item: str, scores: list[str], dam
     return rows.repartition(group).sortWithinPartitions(group).mapInPandas(solve, schema)
 
 
-def _large_groups(rows: DataFrame, group: str, item: str, scores: list[str], damping: float, tol: float = 1e-9, max_iter: int = 100, block: int = 50_000) -> DataFrame:
-    """The same walk for groups too large for a task: sorted once per score in ranges, then prefix sums over blocks."""
+def _ahead(values: DataFrame, group: str, place: str, of: str, block: int) -> DataFrame:
+    """Adds ``_ahead``: the sum of ``of`` over the rows of the group with a lower ``place`` (0, 1, ...), from sums over blocks of places."""
+    rows = values.withColumn("_b", F.floor(F.col(place) / block))
+    blocks = rows.groupBy(group, "_b").agg(F.sum(of).alias("_t"))
+    blocks = blocks.select(group, "_b", (F.sum("_t").over(Window.partitionBy(group).orderBy("_b")) - F.col("_t")).alias("_before"))
+    inside = Window.partitionBy(group, "_b").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    met = join_checked(rows, blocks, [group, "_b"], label="blocks")
+    return met.withColumn("_ahead", F.col("_before") + F.sum(of).over(inside) - F.col(of)).drop("_b", "_before")
+
+
+def _distinct_values(base: DataFrame, group: str, score: str, block: int) -> DataFrame:
+    """group, score, _v, pos: the distinct values of a score in each group in ascending order (_v = 0, 1, ...), and the position of the items that have it.
+
+    Ties are one row, so a value that a third of the group has is no work for the task that orders it.
+    """
+    values = base.groupBy(group, score).agg(F.count(F.lit(1)).alias("_c"))
+    ranged = materialize(values.repartitionByRange(F.col(group), F.col(score)).withColumn("_p", F.spark_partition_id()), "range")
+    per = ranged.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_k"))
+    per = per.select(group, "_p", (F.sum("_k").over(Window.partitionBy(group).orderBy("_p")) - F.col("_k")).alias("_off"))  # one row a range
+    placed = join_checked(ranged, per, [group, "_p"], label="ranges")
+    placed = placed.withColumn("_v", F.col("_off") + F.row_number().over(Window.partitionBy(group, "_p").orderBy(score)) - 1)
+    placed = materialize(placed.select(group, score, "_v", "_c"), "values")
+    total = placed.groupBy(group).agg(F.sum("_c").alias("_n"))
+    counts = join_checked(_ahead(placed, group, "_v", "_c", block), total, [group], label="totals")
+    return counts.select(group, score, "_v", (F.col("_n") - F.col("_ahead") - F.col("_c") + 1).alias("pos"))
+
+
+def _large_groups(
+    rows: DataFrame, group: str, item: str, scores: list[str], damping: float, tol: float = 1e-10, max_iter: int = 200, block: int = 50_000, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """The same walk for groups too large for a task: masses are summed by distinct value, and prefix sums run over the values in blocks.
+
+    An item above is one with a higher value, so what an item gains from a score depends on its value only.
+    """
     base = materialize(rows.select(group, item, *[F.coalesce(F.col(s), F.lit(float("-inf"))).alias(s) for s in scores]), "walk")
-    state = base
+    total = base.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    state = join_checked(base, total, [group], label="totals").withColumn("mass", F.lit(1.0) / F.col("_n"))
     for s in scores:
-        ranged = materialize(base.select(group, item, s).repartitionByRange(F.col(group), F.col(s)).withColumn("_p", F.spark_partition_id()), "range")
-        per = ranged.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_c"))
-        ahead = Window.partitionBy(group).orderBy("_p")  # one row a range
-        per = per.withColumn("_off", F.sum("_c").over(ahead) - F.col("_c")).drop("_c")
-        inside = Window.partitionBy(group, "_p").orderBy(s, item)
-        placed = ranged.join(F.broadcast(per), [group, "_p"]).withColumn("_i", F.col("_off") + F.row_number().over(inside) - 1)
-        # An equal value never stands in two ranges, so the run of ties is inside one.
-        tie = Window.partitionBy(group, "_p", s)
-        total = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-        placed = placed.withColumn("_lo", F.min("_i").over(tie)).withColumn("_hi", F.max("_i").over(tie)).join(F.broadcast(total), group)
-        placed = placed.select(group, item, F.col("_i").alias(f"_i_{s}"), F.col("_lo").alias(f"_lo_{s}"), (F.col("_n") - F.col("_hi")).alias(f"pos_{s}"), "_n")
-        state = state.join(placed.drop("_n") if s != scores[0] else placed, [group, item])
-    state = materialize(state.drop(*scores).withColumn("mass", F.lit(1.0) / F.col("_n")), "walk")
+        known = _distinct_values(base, group, s, block).select(group, s, F.col("_v").alias(f"_v_{s}"), F.col("pos").alias(f"pos_{s}"))
+        state = join_checked(state, known, [group, s], rows=broadcast_rows, label="positions").drop(s)
+    state = materialize(state, "walk")
     keep = [c for c in state.columns if c != "mass"]
     for _ in range(max_iter):
-        gained = None
+        new = state.withColumn("_g", F.lit(0.0))
         for s in scores:
-            blk = F.floor(F.col(f"_i_{s}") / block)
-            out = state.select(group, item, blk.alias("_b"), F.col(f"_i_{s}").alias("_i"), F.col(f"_lo_{s}").alias("_lo"), (F.col(f"pos_{s}") - 1).alias("_h"), "mass")
-            out = out.withColumn("_o", F.when(F.col("_h") > 0, F.col("mass") / F.col("_h")).otherwise(0.0))
-            blocks = out.groupBy(group, "_b").agg(F.sum("_o").alias("_t"))
-            blocks = blocks.withColumn("_before", F.sum("_t").over(Window.partitionBy(group).orderBy("_b")) - F.col("_t")).drop("_t")
-            run = out.join(F.broadcast(blocks), [group, "_b"])
-            run = run.withColumn("_sum", F.col("_before") + F.sum("_o").over(Window.partitionBy(group, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_o"))
-            # The sum over all strictly lower items is the sum before the first item of the run of ties.
-            at = run.select(group, F.col("_i").alias("_lo"), "_sum")
-            part = run.select(group, item, "_lo", "_h", "mass").join(at, [group, "_lo"]).select(group, item, (F.col("_sum") + F.when(F.col("_h") == 0, F.col("mass")).otherwise(0.0)).alias("_g"))
-            gained = part if gained is None else gained.unionByName(part)
-        sums = gained.groupBy(group, item).agg(F.sum("_g").alias("_g"))
-        new = materialize(state.withColumnRenamed("mass", "_old").join(sums, [group, item]).withColumn("mass", (1 - damping) / F.col("_n") + damping * F.col("_g") / len(scores)), "walk")
+            above = F.col(f"pos_{s}") - 1
+            sums = state.groupBy(group, F.col(f"_v_{s}")).agg(F.sum(F.when(above > 0, F.col("mass") / above).otherwise(0.0)).alias("_o"))
+            gained = _ahead(sums, group, f"_v_{s}", "_o", block).select(group, f"_v_{s}", "_ahead")
+            new = join_checked(new, gained, [group, f"_v_{s}"], rows=broadcast_rows, label="gained")
+            new = new.withColumn("_g", F.col("_g") + F.col("_ahead") + F.when(above == 0, F.col("mass")).otherwise(0.0)).drop("_ahead")
+        new = materialize(new.withColumn("_old", F.col("mass")).withColumn("mass", (1 - damping) / F.col("_n") + damping * F.col("_g") / len(scores)).select(*keep, "_old", "mass"), "walk")
         delta = new.groupBy(group).agg(F.sum(F.abs(F.col("mass") - F.col("_old"))).alias("d")).agg(F.max("d")).first()[0]
         state = new.select(*keep, "mass")
         if delta is None or delta <= tol:

@@ -48,6 +48,18 @@ def test_rank_walk(spark, group_rows):
         assert sum(r["mass"] for r in mine) == pytest.approx(1, abs=1e-6)
 
 
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_large_groups_with_ties(spark, broadcast_rows):
+    """A value that most items share, blocks of two values, and sides beyond the broadcast limit."""
+    rng = random.Random(11)
+    items = [(rng.choice([None, 1.0, 1.0, 1.0, 2.0]), rng.random()) for _ in range(9)]
+    df = spark.createDataFrame([(1, k, *v) for k, v in enumerate(items)], "g long, item long, a double, b double")
+    got = sorted(rank_walk._large_groups(df, "g", "item", ["a", "b"], 0.5, tol=1e-6, block=2, broadcast_rows=broadcast_rows).collect(), key=lambda r: r["item"])
+    pos, pi = dense_walk(items, 0.5)
+    assert [[r["pos_a"], r["pos_b"]] for r in got] == pos.tolist()
+    assert [r["mass"] for r in got] == pytest.approx(pi.tolist(), abs=1e-5)
+
+
 def test_no_scale_dominates(spark):
     rows = [(1, i, float(10 - i), float(i) * s) for i in range(5) for s in (1,)]
     df = spark.createDataFrame(rows, "g long, item long, a double, b double")
