@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.plans.runtime import counted, join_checked, join_split, materialize
+from spindrift.plans.runtime import BROADCAST_ROWS, counted, join_checked, join_split, materialize
 
 #: A fingerprint is SEGMENTS words of WIDTH symbols; a Hamming ball of radius 1 around a segment has one key for each position left open.
 SEGMENTS, WIDTH = 8, 5
@@ -109,7 +109,7 @@ def fingerprints(pages: DataFrame) -> DataFrame:
     return rows.mapInPandas(_features, "page_id long, set_a long, set_b long, bits_a long, bits_b long, print binary, keys array<long>")
 
 
-def candidate_pairs(prints: DataFrame, most_bits: int = 44, bucket: int = BUCKET) -> DataFrame:
+def candidate_pairs(prints: DataFrame, most_bits: int = 44, bucket: int = BUCKET, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """a, b: all pairs that share a key and whose codes differ in at most ``most_bits`` of 120 bits.
 
     Keys of a single page are dropped first: the keys are counted with map-side combining, and those of several pages
@@ -119,7 +119,7 @@ def candidate_pairs(prints: DataFrame, most_bits: int = 44, bucket: int = BUCKET
     """
     rows = prints.select("page_id", "bits_a", "bits_b", F.explode("keys").alias("key"))
     multi, n = counted(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    shared = rows.join(F.broadcast(multi), "key") if n <= BROADCAST_KEYS else join_split(rows, multi, ["key"], hot=multi.where(F.col("n") > bucket).select("key"))
+    shared = rows.join(F.broadcast(multi), "key") if n <= broadcast_keys else join_split(rows, multi, ["key"])
     shared = materialize(shared.withColumn("blocks", F.ceil(F.col("n") / bucket).cast("int")).drop("n"), "shared")
     own = F.pmod(F.xxhash64("page_id"), F.col("blocks").cast("long")).cast("int")
     a = shared.select("key", own.alias("block"), F.col("page_id").alias("a"), F.col("bits_a").alias("_x"), F.col("bits_b").alias("_y"))
@@ -184,6 +184,33 @@ def similar_classes(pages: DataFrame, threshold: float = 0.7, least_symbols: int
     return classed.select("page_id", F.coalesce("rep", "page_id").alias("rep")), links
 
 
+def pairs_within(members: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """page_a, page_b: all pairs of the pages (page_id) of one class (rep).
+
+    A class of more than ``bucket`` pages is cut into blocks; each block meets the whole class in a task of its own, so the most
+    copied page loads no single task with all its pairs.
+    """
+    several, n = counted(members.groupBy("rep").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("rep", F.ceil(F.col("_n") / bucket).cast("int").alias("_blocks")), "several")
+    known = members.join(F.broadcast(several), "rep") if n <= BROADCAST_ROWS else join_split(members, several, ["rep"])
+    known = materialize(known, "copies")
+    own = F.pmod(F.xxhash64("page_id"), F.col("_blocks").cast("long")).cast("int")
+    a = known.select("rep", own.alias("_block"), F.col("page_id").alias("page_a"))
+    b = known.select("rep", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.col("page_id").alias("page_b"))
+    return a.join(b, ["rep", "_block"]).where("page_a < page_b").select("page_a", "page_b")
+
+
+def page_classes(pages: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """page_id, class_id, n_links: each page with the least page of its class (same sequences), and the number of other classes at or above the threshold.
+
+    The form for large collections: no pair of copies is written out.  Pages without sequences give no row.
+    """
+    members, links = similar_classes(pages, threshold)
+    links = materialize(links.select("a", "b"), "links")
+    n_links = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    counted_ = join_checked(members, n_links, ["rep"], "left", label="n_links")
+    return counted_.select("page_id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def similar_pairs(pages: DataFrame, threshold: float = 0.7) -> DataFrame:
     """page_a, page_b: all pairs of page ids at or above the threshold, copies included.
 
@@ -196,7 +223,4 @@ def similar_pairs(pages: DataFrame, threshold: float = 0.7) -> DataFrame:
     left = join_checked(members.select(F.col("page_id").alias("x"), F.col("rep").alias("a")), links, ["a"], label="links")
     right = join_checked(members.select(F.col("page_id").alias("y"), F.col("rep").alias("b")), left, ["b"], label="links")
     across = right.select(F.least("x", "y").alias("page_a"), F.greatest("x", "y").alias("page_b"))
-    several = members.groupBy("rep").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("rep")
-    copies = materialize(join_checked(members, several, ["rep"], "left_semi", label="several"), "copies")
-    within = copies.select("rep", F.col("page_id").alias("page_a")).join(copies.select("rep", F.col("page_id").alias("page_b")), "rep").where("page_a < page_b")
-    return across.unionByName(within.select("page_a", "page_b")).distinct()
+    return across.unionByName(pairs_within(members)).distinct()

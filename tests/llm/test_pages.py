@@ -214,6 +214,31 @@ def test_near_duplicates(spark, monkeypatch, bucket):
     assert set(got) >= jaccard_pairs(rows, 0.75) and len(got) >= len(expected) - 1
 
 
+def test_pairs_of_a_class_in_blocks(spark):
+    members = spark.createDataFrame([(k, 0) for k in range(23)] + [(100, 100), (101, 100), (200, 200)], "page_id long, rep long")
+    got = sorted(map(tuple, near_duplicates.pairs_within(members, bucket=4).collect()))
+    assert got == [(a, b) for a in range(23) for b in range(a + 1, 23)] + [(100, 101)]
+
+
+def test_candidates_beyond_the_broadcast_limit(spark):
+    rng = random.Random(1)
+    rows = [(k, rng.getrandbits(3), 0, [rng.randrange(12), 50 + k // 2]) for k in range(60)]
+    prints = spark.createDataFrame(rows, "page_id long, bits_a long, bits_b long, keys array<long>")
+    plain, shuffled = ({tuple(r) for r in near_duplicates.candidate_pairs(prints, most_bits=2, broadcast_keys=n).collect()} for n in (1_000, 0))
+    assert plain == shuffled and len(plain) > 50
+
+
+def test_classes_and_their_links(spark):
+    rows = edited_rows()
+    got = {r["page_id"]: (r["class_id"], r["n_links"]) for r in near_duplicates.page_classes(frame(spark, rows)).collect()}
+    pairs = {tuple(r) for r in near_duplicates.similar_pairs(frame(spark, rows)).collect()}
+    assert all(got[k] == got[0] for k in range(1000, 1004)) and got[0][0] == 0
+    reps = {c for c, _ in got.values()}
+    links = {p for p in pairs if set(p) <= reps}
+    assert all(n == sum(c in p for p in links) for c, n in got.values()) and 2000 not in got
+    assert near_duplicates.page_classes(frame(spark, [])).collect() == []
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates.similar_pairs(frame(spark, [])).collect() == []
 
