@@ -14,9 +14,14 @@ def term_frequency(pages: DataFrame, stop: tuple[str, ...] = STOP_WORDS) -> Data
     return tokens.where(~F.col("word").isin(*stop)).groupBy("word", "page_id").agg(F.count(F.lit(1)).cast("int").alias("frequency"))
 
 
-def posting_lists(postings: DataFrame) -> DataFrame:
-    """word, postings: each word's (page_id, frequency) pairs by page.  An export format; the engine works on rows."""
-    return postings.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("page_id", "frequency"))).alias("postings"))
+def posting_lists(postings: DataFrame, block: int = 65_536) -> DataFrame:
+    """word, block, postings: each word's (page_id, frequency) pairs by page, in blocks of ``block`` page ids.
+
+    An export format; the engine works on rows.  A block holds at most as many pairs as it has ids, so the list of a word that
+    every page has is spread over as many rows and tasks as it needs.  A word's list is its blocks, one after the other.
+    """
+    keyed = postings.withColumn("block", F.floor(F.col("page_id") / block).cast("long"))
+    return keyed.groupBy("word", "block").agg(F.sort_array(F.collect_list(F.struct("page_id", "frequency"))).alias("postings"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import normalize_text, raw_tokens, snippet, tokenize_query
+from spindrift.functions.text import normalize_text, snippet, tokenize_query
 from spindrift.functions.urls import canonical_url, has_banned_marker
 from spindrift.plans.runtime import join_checked
 
@@ -81,8 +81,12 @@ def _has_word(clean: str, word: Column) -> Column:
 
 
 def rank_features(scored: DataFrame, analyzed: DataFrame, prepared: DataFrame) -> DataFrame:
-    """The candidates with their page and one column for each factor; pages that don't exist drop out."""
-    found = scored.join(prepared, "page_id").join(F.broadcast(analyzed.select("query_id", "words", "terms", "clean", "what_is", "how")), "query_id")
+    """The candidates with their page and one column for each factor; pages that don't exist drop out.
+
+    The candidates, ids and numbers, are the counted side: pages with their texts stay where they are read while that side is small.
+    """
+    found = join_checked(prepared, scored, ["page_id"], label="scored")
+    found = join_checked(found, analyzed.select("query_id", "words", "terms", "clean", "what_is", "how"), ["query_id"], label="queries")
     found = found.where(~has_banned_marker(F.col("url")))
     source = F.col("source")
     in_title = F.size(F.filter("words", lambda w: _has_word("title_clean", w)))
@@ -114,21 +118,23 @@ def drop_duplicate_urls(scored: DataFrame) -> DataFrame:
     return scored.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
 
 
-
-
 def search(queries: DataFrame, postings: DataFrame, idf: DataFrame, prepared: DataFrame, stats: DataFrame) -> DataFrame:
-    """query_id, page_id, first_pos, score, title, url, content, words: all results of all queries, unordered.
+    """query_id, page_id, first_pos, score, url: all results of all queries, unordered.
 
-    A query without tokens, with unknown words only or without pages gives no row.
+    Texts are dropped as soon as the factors are known, so what is grouped and ordered from there on is a few numbers a row; ``with_snippets``
+    looks the texts of chosen rows up again.  A query without tokens, with unknown words only or without pages gives no row.
     """
     analyzed = analyze_queries(queries)
     scored = bm25(query_terms(analyzed), postings, idf, prepared, stats)
-    kept = drop_duplicate_urls(final_scores(rank_features(scored, analyzed, prepared)))
-    return kept.select("query_id", "page_id", "first_pos", "score", "title", F.col("clean_url").alias("url"), "content", "words")
+    light = final_scores(rank_features(scored, analyzed, prepared)).select("query_id", "page_id", "first_pos", "score", "clean_url")
+    return drop_duplicate_urls(light).withColumnRenamed("clean_url", "url")
 
 
-def with_snippets(results: DataFrame) -> DataFrame:
-    return results.withColumn("snippet", snippet(F.col("content"), F.col("words"))).drop("content", "words")
+def with_snippets(results: DataFrame, queries: DataFrame, prepared: DataFrame) -> DataFrame:
+    """The given results (of ``search``, usually the first few of each query) with title and snippet."""
+    texts = join_checked(prepared.select("page_id", "title", "content"), results, ["page_id"], label="results")
+    words = analyze_queries(queries).select("query_id", "words")
+    return join_checked(texts, words, ["query_id"], label="queries").withColumn("snippet", snippet(F.col("content"), F.col("words"))).drop("content", "words")
 
 
 def top_k(results: DataFrame, k: int) -> DataFrame:
@@ -142,15 +148,12 @@ def page_of(results: DataFrame, page: int = 1, limit: int = 10) -> DataFrame:
     return results.orderBy(F.desc("score"), "first_pos", "page_id").offset((page - 1) * limit).limit(limit)
 
 
-def banned_filter(pages: DataFrame) -> DataFrame:
-    return pages.where(~has_banned_marker(F.col("url")))
+def page_count(total: Column, limit: int = 10) -> Column:
+    """Pages that so many results fill."""
+    return F.ceil(total / limit).cast("long")
 
 
 def query_vocabulary(queries: DataFrame, idf: DataFrame) -> DataFrame:
     """query_id, word, known: whether the index has each distinct word of a query."""
     terms = queries.select("query_id", F.explode(F.array_distinct(tokenize_query(F.col("query")))).alias("word"))
     return terms.join(idf.select("word", F.lit(True).alias("_k")), "word", "left").select("query_id", "word", F.coalesce("_k", F.lit(False)).alias("known"))
-
-
-def has_tokens(query: Column) -> Column:
-    return F.size(raw_tokens(query)) > 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import threading
 import time
 from collections import OrderedDict
@@ -15,7 +16,11 @@ from spindrift.operators import rank
 from spindrift.plans import store
 
 # Fixed values of the serving layer.
-CACHE_ENTRIES, CACHE_SECONDS, REFRESH_SECONDS, MAX_LIMIT, LOGGED_QUERY = 512, 600, 30, 50, 120
+CACHE_ENTRIES, CACHE_SECONDS, REFRESH_SECONDS, MAX_LIMIT, LOGGED_QUERY, SUMMARY_EVERY = 512, 600, 30, 50, 120, 100
+#: Results of a query that are kept with it, in order; a page beyond them is looked up by itself.
+HEAD = 200
+
+_log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -28,6 +33,18 @@ class SearchPage:
     def envelope(self) -> dict:
         return {"results": self.results, "total": self.total}
 
+    def pages(self, limit: int = 10) -> int:
+        """Pages that all results fill."""
+        return -(-self.total // limit)
+
+
+@dataclass(frozen=True)
+class _Answer:
+    """The first results of a query, at most ``HEAD``, and the number of all."""
+
+    head: list[dict]
+    total: int
+
 
 class ResultCache:
     """Least recently used results with an expiry; of callers that ask for the same key at once, one works and the rest wait."""
@@ -87,7 +104,7 @@ class SearchEngine:
         self.counters = {"requests": 0, "hit": 0, "miss": 0, "shared": 0, "errors": 0, "latency_sum": 0.0, "latency_max": 0.0}
         self._tables: store.IndexTables | None = None
         self._looked = float("-inf")
-        self._lock = threading.Lock()
+        self._lock, self._counting = threading.Lock(), threading.Lock()
 
     @classmethod
     def open(cls, spark: SparkSession, path: str | None = None) -> SearchEngine:
@@ -109,22 +126,32 @@ class SearchEngine:
     def health(self) -> dict:
         return {"status": "ok", "db_exists": store.current_version(self.spark, self.path) is not None}
 
+    def _asked(self, query: str) -> DataFrame:
+        return self.spark.createDataFrame([(0, query)], "query_id long, query string")
+
     def search(self, query: str) -> DataFrame:
-        """All results of a query, literally as written (no cache), unordered."""
+        """page_id, first_pos, score, url of all results of a query, literally as written (no cache), unordered."""
         t = self.tables()
-        queries = self.spark.createDataFrame([(0, query)], "query_id long, query string")
         words = _words(query)
         idf = t.idf.where(t.idf["word"].isin(*words)) if words else t.idf.limit(0)
-        return rank.search(queries, store.postings_of(t, words), idf, t.pages, t.stats)
+        return rank.search(self._asked(query), store.postings_of(t, words), idf, t.pages, t.stats)
 
     def search_batch(self, queries: DataFrame, k: int) -> DataFrame:
         """query_id, rank, page_id, score, title, url, snippet: the first ``k`` results of each query."""
         t = self.tables()
-        found = rank.with_snippets(rank.top_k(rank.search(queries, t.postings, t.idf, t.pages, t.stats), k))
-        return found.select("query_id", "rank", "page_id", "score", "title", "url", "snippet")
+        found = rank.top_k(rank.search(queries, t.postings, t.idf, t.pages, t.stats), k)
+        return rank.with_snippets(found, queries, t.pages).select("query_id", "rank", "page_id", "score", "title", "url", "snippet")
 
     def search_page(self, query: str, page: int = 1, limit: int = 10) -> SearchPage:
         """A page of results through the cache.  The normalised query is used for the key and for the ranking alike."""
+        return self.answer(query, page, limit)[0]
+
+    def answer(self, query: str, page: int = 1, limit: int = 10) -> tuple[SearchPage, str]:
+        """(page of results, how the cache answered: hit, miss or shared).
+
+        What reaches the driver is the number of results and at most ``HEAD`` of them, which later pages are served
+        from; a page beyond is fetched alone, under a key of its own.
+        """
         if not query:
             raise ValueError("query must have at least one character")
         if page < 1:
@@ -132,25 +159,53 @@ class SearchEngine:
         if not 1 <= limit <= MAX_LIMIT:
             raise ValueError(f"limit must be 1 to {MAX_LIMIT}")
         began, key = self.clock(), cache_key(query)
-        self.counters["requests"] += 1
-        self.tables()
+        status, failed, total = "n/a", False, None
         try:
-            rows, status = self.cache.get(key, lambda: self._all(key))
-            self.counters[status] += 1
+            self.tables()
+            first, status = self.cache.get(key, lambda: self._first(key))
+            start, total = (page - 1) * limit, first.total
+            if start + limit <= len(first.head) or len(first.head) == total:
+                rows = first.head[start : start + limit]
+            elif start >= total:
+                rows = []
+            else:
+                rows, status = self.cache.get(f"{key}\n{start}\n{limit}", lambda: self._rows(self.search(key), key, start, limit))
+            return SearchPage(rows, total), status
         except Exception:
-            self.counters["errors"] += 1
+            failed = True
             raise
         finally:
-            spent = self.clock() - began
-            self.counters["latency_sum"] += spent
-            self.counters["latency_max"] = max(self.counters["latency_max"], spent)
-        return SearchPage(rows[(page - 1) * limit : page * limit], len(rows))
-
-    def _all(self, query: str) -> list[dict]:
+            self._count(key, status, failed, self.clock() - began, total)
+
+    def _count(self, query: str, status: str, failed: bool, spent: float, total: int | None) -> None:
+        with self._counting:
+            c = self.counters
+            c["requests"] += 1
+            if status in c:
+                c[status] += 1
+            c["errors"] += failed
+            c["latency_sum"] += spent
+            c["latency_max"] = max(c["latency_max"], spent)
+            summary = dict(c) if c["requests"] % SUMMARY_EVERY == 0 else None
+        _log.info("search seconds=%.3f cache=%s total=%s q=%r", spent, status, total, query[:LOGGED_QUERY])
+        if summary:
+            _log.info("metrics %s mean_latency=%.3f", summary, summary["latency_sum"] / summary["requests"])
+
+    def _first(self, query: str) -> _Answer:
         if not query:
-            return []
-        ordered = rank.with_snippets(self.search(query)).orderBy(*_order()).select("title", "url", "score", "snippet")
-        return [r.asDict() for r in ordered.toLocalIterator()]
+            return _Answer([], 0)
+        found = self.search(query).persist()
+        try:
+            total = found.count()
+            return _Answer(self._rows(found, query, 0, HEAD) if total else [], total)
+        finally:
+            found.unpersist()
+
+    def _rows(self, found: DataFrame, query: str, start: int, n: int) -> list[dict]:
+        """Rows ``start`` to ``start + n`` of the results, in order; texts are looked up for these only."""
+        chosen = found.orderBy(*_order()).offset(start).limit(n)
+        rows = rank.with_snippets(chosen, self._asked(query), self.tables().pages).orderBy(*_order()).select("title", "url", "score", "snippet")
+        return [r.asDict() for r in rows.collect()]
 
 
 def _order():

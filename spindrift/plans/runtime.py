@@ -92,27 +92,35 @@ def hot_keys(df: DataFrame, on: list[str], share: float = 0.002) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).where(F.col("_n") > F.col("_total") * share).select(*on)
 
 
-def join_split(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: float = 0.002, splits: int = 32, hot: DataFrame | None = None) -> DataFrame:
+def join_split(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: float = 0.002, splits: int = 32) -> DataFrame:
     """Equi-join in which the rows of hot keys of ``left`` go to ``splits`` tasks each.
 
     ``right`` should have few rows a key: those of hot keys are copied ``splits`` times, which are at most
     ``splits / share`` keys.  Works for ``how`` inner, left, left_semi and left_anti.
     """
-    if hot is None:
-        hot = materialize(hot_keys(left, on, share), "hot")
-    mark = F.broadcast(hot.distinct().withColumn("_hot", F.lit(True)))
+    # At most 1 / share keys, whatever the size of the input.
+    mark = F.broadcast(materialize(hot_keys(left, on, share), "hot").withColumn("_hot", F.lit(True)))
     salted = left.join(mark, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(splits)).cast("int")).otherwise(F.lit(0))).drop("_hot")
     copies = right.join(mark, on, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def distinct_pages(pages: DataFrame, *columns: str, key: str = "id") -> DataFrame:
-    """One row a page id: rows are repeated whole, so any row of an id will do; the least by value is taken, for a defined result."""
+    """One row a page id: rows are repeated whole, so any row of an id will do; the least by value is taken, for a defined result.
+
+    Only ids are shuffled to find the repeated ones; texts stay where they are read, but for those of repeated ids.
+    """
     keep = [c for c in columns if c != key]
     rows = pages.where(F.col(key).isNotNull())
     if not keep:
         return rows.select(key).distinct()
-    return rows.groupBy(key).agg(F.min(F.struct(*keep)).alias("_row")).select(key, "_row.*")
+    repeated, n = counted(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key), "repeated")
+    rows = rows.select(key, *keep)
+    if not n:
+        return rows
+    side = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
+    one = rows.join(side, key, "left_semi").groupBy(key).agg(F.min(F.struct(*keep)).alias("_row")).select(key, "_row.*")
+    return rows.join(side, key, "left_anti").unionByName(one)
 
 
 def source_name(c: Column) -> Column:

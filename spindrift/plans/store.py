@@ -71,23 +71,16 @@ class IndexTables:
     shards: int
 
 
-def build_tables(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, idf, stats) of a pages table."""
-    postings = index.term_frequency(pages)
-    stats = index.corpus_stats(pages)
-    return postings, index.inverse_document_frequency(postings, stats), stats
-
-
 def write_index(pages: DataFrame, links: DataFrame, path: str, shards: int = SHARDS, strict: bool = True) -> str:
     """Build all tables of a new version and make it the current one; on any error the old version stays current."""
     spark = pages.sparkSession
-    if strict:
-        validate(pages)
     version = f"{time.time_ns():020d}"
     root = f"{path}/{version}"
     try:
         pages.write.parquet(f"{root}/source_pages")
         stored = spark.read.parquet(f"{root}/source_pages")
+        if strict:
+            validate(stored)
         edges = graph.known_edges(links, stored)
         edges.write.parquet(f"{root}/links")
         postings = index.term_frequency(stored).withColumn("shard", term_shard(F.col("word"), shards))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,12 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text, urls
 from spindrift.functions.html import extract_html
+from spindrift.functions.html import page_records as html_records
 from spindrift.operators import crawl, graph, index, rank
 from spindrift.plans import hot_words
-from spindrift.plans.runtime import distinct_pages, materialize
+from spindrift.plans.runtime import distinct_pages, materialize, shared_dir
+from spindrift.schema import violations
+from spindrift.sources import index_json, jsonl
 from spindrift.streaming.ingest import windowed_requests
 
 #: The queries that the ranked-retrieval entries run, as a batch.
@@ -43,11 +47,13 @@ def _searches(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SEARCHES, "query_id long, query string")
 
 
-def _results(spark: SparkSession, d: str) -> DataFrame:
+def _results(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All results of all searches, and the prepared pages."""
     pages = materialize(_pages(spark, d), "pages")
     postings = materialize(index.term_frequency(pages), "postings")
     stats = index.corpus_stats(pages)
-    return rank.search(_searches(spark), postings, index.inverse_document_frequency(postings, stats), rank.prepare_pages(pages), stats)
+    prepared = rank.prepare_pages(pages)
+    return rank.search(_searches(spark), postings, index.inverse_document_frequency(postings, stats), prepared, stats), prepared
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -68,8 +74,8 @@ def term_frequency(spark, d):
 
 
 def posting_lists(spark, d):
-    lists = index.posting_lists(index.term_frequency(_pages(spark, d)))
-    return lists.select("word", F.array_join(F.transform("postings", lambda p: F.concat(p["page_id"].cast("string"), F.lit(":"), p["frequency"].cast("string"))), ",").alias("postings"))
+    lists = index.posting_lists(index.term_frequency(_pages(spark, d)), block=256)
+    return lists.select("word", "block", F.array_join(F.transform("postings", lambda p: F.concat(p["page_id"].cast("string"), F.lit(":"), p["frequency"].cast("string"))), ",").alias("postings"))
 
 
 def idf_weights(spark, d):
@@ -125,27 +131,29 @@ def bm25_batch(spark, d):
 def rank_features(spark, d):
     pages = materialize(_pages(spark, d), "pages")
     analyzed = rank.analyze_queries(_searches(spark))
-    every = pages.select(F.col("id").alias("page_id")).crossJoin(F.broadcast(analyzed.where("query_id in (2, 4, 10)").select("query_id"))).withColumn("base", F.lit(1.0)).withColumn("first_pos", F.lit(0))
+    every = pages.select(F.col("id").alias("page_id")).crossJoin(F.broadcast(analyzed.select("query_id"))).withColumn("base", F.lit(1.0)).withColumn("first_pos", F.lit(0))
     f = rank.rank_features(every, analyzed, rank.prepare_pages(pages))
     return f.select("query_id", "page_id", *[F.round(x, 6).alias(x) for x in rank.FACTORS])
 
 
 def search_all(spark, d):
-    return _results(spark, d).select("query_id", "page_id", F.round("score", 6).alias("score"), "url")
+    return _results(spark, d)[0].select("query_id", "page_id", F.round("score", 6).alias("score"), "url")
 
 
 def search_top10(spark, d):
-    found = rank.with_snippets(rank.top_k(_results(spark, d), 10))
+    results, prepared = _results(spark, d)
+    found = rank.with_snippets(rank.top_k(results, 10), _searches(spark), prepared)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "page_id", F.round("score", 6).alias("score"), "title", "url", "snippet")
 
 
 def search_second_page(spark, d):
-    found = _results(spark, d).where("query_id = 9")
+    found = _results(spark, d)[0].where("query_id = 9")
     return rank.page_of(found, page=2, limit=10).select("page_id", F.round("score", 6).alias("score"))
 
 
 def search_totals(spark, d):
-    return _results(spark, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    totals = _results(spark, d)[0].groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    return totals.withColumn("n_pages", rank.page_count(F.col("total"), 10))
 
 
 def canonical_urls(spark, d):
@@ -171,11 +179,16 @@ def source_counts(spark, d):
 
 def html_extract(spark, d):
     """Pages written as HTML, a paragraph a line, and read again."""
+    out = extract_html(_html(_pages(spark, d)))
+    return out.select(F.col("url").cast("long").alias("id"), "title", F.length("text").cast("long").alias("n_chars"))
+
+
+def _html(pages: DataFrame) -> DataFrame:
+    """url (the page's id) and html of pages: a paragraph a line."""
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     body = F.array_join(F.transform(F.split(F.col("content"), "\n"), lambda x: F.concat(F.lit("<p>"), esc(x), F.lit("</p>"))), "")
     html = F.concat(F.lit("<html><head><title>"), esc(F.col("title")), F.lit("</title></head><body><script>var p = '</p>';</script>"), body, F.lit("</body></html>"))
-    out = extract_html(_pages(spark, d).select(F.concat(F.col("id").cast("string")).alias("url"), html.alias("html")))
-    return out.select(F.col("url").cast("long").alias("id"), "title", F.length("text").cast("long").alias("n_chars"))
+    return pages.select(F.col("id").cast("string").alias("url"), html.alias("html"))
 
 
 def link_edges(spark, d):
@@ -220,6 +233,59 @@ def request_windows(spark, d):
     return windowed_requests(_t(spark, d, "events")[0])
 
 
+def retry_plan(spark, d):
+    return crawl.retry_plan(_t(spark, d, "fetch_log")[0])
+
+
+def crawl_admission(spark, d):
+    """What a crawl would schedule of all page URLs: three a host, at most 300 in all."""
+    urls_ = _t(spark, d, "pages")[0].where("id is not null").select("url", F.col("id").alias("place"))
+    return crawl.admit(urls_, spark.createDataFrame([], "url string, domain string"), max_pages=300, domain_cap=3, check_domains=False)
+
+
+def page_records(spark, d):
+    """Pages written as HTML, read as a crawl reads them: those with a title and enough text."""
+    return html_records(_html(_pages(spark, d))).select(F.col("url").cast("long").alias("id"), "title", F.length("text").cast("long").alias("n_chars"), F.size("links").cast("long").alias("n_links"))
+
+
+def resolved_links(spark, d):
+    """The link table resolved anew from page records that name their targets by URL."""
+    pages, links = _t(spark, d, "pages", "links")
+    known = distinct_pages(pages, "url")
+    named = links.join(known.select(F.col("id").alias("to_page"), F.col("url").alias("target")), "to_page").groupBy(F.col("from_page").alias("id")).agg(F.collect_set("target").alias("links"))
+    records = known.join(named, "id", "left").select(F.col("id").alias("page_id"), "url", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
+    return graph.resolve_links(records)
+
+
+def jsonl_round_trip(spark, d):
+    """Pages written as JSON lines and read again: ids are dense in the order of the file."""
+    path = f"{shared_dir(spark).rstrip('/')}/spindrift/lines-{uuid.uuid4().hex}"
+    rows = _pages(spark, d).where("url is not null")
+    jsonl.write_records(rows.select("url", "title", F.col("content").alias("text"), "source", F.array().cast("array<string>").alias("links")), path)
+    back = jsonl.pages_table(jsonl.read_pages(spark, path))
+    span = back.agg(F.min("id").alias("first_id"), (F.max("id") - F.count(F.lit(1)) + 1).alias("gaps"), F.count_distinct("id").alias("n_ids"))
+    return back.select("url", "title", "source", F.col("length").cast("long").alias("length")).crossJoin(F.broadcast(span))
+
+
+def shard_round_trip(spark, d):
+    """Postings written as shard files and read again, summed up by word."""
+    path = f"{shared_dir(spark).rstrip('/')}/spindrift/shards-{uuid.uuid4().hex}"
+    index_json.write_shards(index.term_frequency(_pages(spark, d)), path, 16)
+    back = index_json.read_shards(spark, path)
+    return back.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("frequency").alias("total"), F.sum(F.col("page_id") * F.col("frequency")).alias("mass"))
+
+
+def pagerank_joined(spark, d):
+    """Ten steps of PageRank by joins, as for graphs that are too large for one task."""
+    pages, links = _t(spark, d, "pages", "links")
+    return graph.pagerank(pages, links, max_iterations=10, local_nodes=0).select("page_id", F.round("pagerank", 6).alias("pagerank"))
+
+
+def constraint_report(spark, d):
+    pages, postings, idf, links = _t(spark, d, "pages", "inverted_index", "idf", "links")
+    return violations(pages, postings=postings, idf=idf, links=links)
+
+
 def p6_found(spark, d):
     return hot_words.leading_pages(*_t(spark, d, "inverted_index", "pages"))
 
@@ -234,7 +300,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         token_counts, doc_lengths, term_frequency, posting_lists, idf_weights, corpus_stats, index_totals, posting_lookup, term_shards, query_vocabulary,
         normalized_titles, snippets, query_intents, bm25_batch, rank_features, search_all, search_top10, search_second_page, search_totals,
         canonical_urls, url_groups, url_filters, source_counts, html_extract, link_edges, out_degrees, dangling_pages, pagerank_step, pagerank,
-        domain_cap, crawl_stats, failed_fetches, request_metrics, request_windows, p6_found, p6_totals,
+        page_records, resolved_links, jsonl_round_trip, shard_round_trip, pagerank_joined, constraint_report, crawl_admission, retry_plan, domain_cap, crawl_stats, failed_fetches, request_metrics, request_windows, p6_found, p6_totals,
     )
 }
 

@@ -26,8 +26,11 @@ def _repeats(df: DataFrame, name: str, *keys: str) -> DataFrame:
     return n.select(F.lit(name).alias("rule"), "violations")
 
 
-def _breaks(df: DataFrame, name: str, test) -> DataFrame:
-    return df.agg(F.count_if(F.coalesce(test, F.lit(False))).alias("violations")).select(F.lit(name).alias("rule"), "violations")
+def _breaks(df: DataFrame, **tests) -> DataFrame:
+    """Rows that break each of some rules, from one scan; rules are named by their table, column and test."""
+    counts = df.agg(*[F.count_if(F.coalesce(t, F.lit(False))).alias(name) for name, t in tests.items()])
+    pairs = F.array(*[F.struct(F.lit(name.replace("__", ".").replace("_not_null", " not null").replace("_least_0", " >= 0").replace("_over_0", " > 0")).alias("rule"), F.col(name).alias("violations")) for name in tests])
+    return counts.select(F.explode(pairs).alias("_v")).select("_v.*")
 
 
 def violations(pages: DataFrame, postings: DataFrame | None = None, idf: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
@@ -35,16 +38,13 @@ def violations(pages: DataFrame, postings: DataFrame | None = None, idf: DataFra
     parts = [
         _repeats(pages, "pages.id unique", "id"),
         _repeats(pages, "pages.url unique", "url"),
-        _breaks(pages, "pages.url not null", F.col("url").isNull()),
-        _breaks(pages, "pages.length >= 0", F.col("length") < 0),
-        _breaks(pages, "pages.views >= 0", F.col("views") < 0),
-        _breaks(pages, "pages.pagerank >= 0", F.col("pagerank") < 0),
+        _breaks(pages, pages__url_not_null=F.col("url").isNull(), pages__length_least_0=F.col("length") < 0, pages__views_least_0=F.col("views") < 0, pages__pagerank_least_0=F.col("pagerank") < 0),
     ]
     ids = pages.select(F.col("id").alias("_id")).distinct()
     if postings is not None:
         parts += [
             _repeats(postings, "postings (word, page_id) unique", "word", "page_id"),
-            _breaks(postings, "postings.frequency > 0", F.col("frequency") <= 0),
+            _breaks(postings, postings__frequency_over_0=F.col("frequency") <= 0),
             postings.join(ids, postings["page_id"] == ids["_id"], "left_anti").agg(F.count(F.lit(1)).alias("violations")).select(F.lit("postings.page_id in pages").alias("rule"), "violations"),
         ]
     if idf is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,9 +42,18 @@ def _entries(df: DataFrame, value: str) -> DataFrame:
 
 
 def write_postings(lists: DataFrame, path: str) -> None:
-    """Posting lists (word, postings) as entries of one JSON object, in parts; ``join_entries`` makes the object."""
+    """Posting lists (word, block, postings) as entries of one JSON object, in parts; ``join_entries`` makes the object.
+
+    A word's first block opens its list and its last one closes it; lines stand in the order of word and block over all parts.
+    """
     pairs = F.to_json(F.transform("postings", lambda p: F.array(p["page_id"], p["frequency"].cast("long"))))
-    _entries(lists.withColumn("_v", pairs), "_v").write.mode("overwrite").text(path)
+    bare = pairs.substr(F.lit(2), F.length(pairs) - 2)
+    of_word = Window.partitionBy("word").orderBy("block")  # one row a block
+    marked = lists.withColumn("_first", F.lag("block").over(of_word).isNull()).withColumn("_last", F.lead("block").over(of_word).isNull())
+    name = F.to_json(F.array("word"))
+    opened = F.concat(F.when(F.col("_first"), F.concat(name.substr(F.lit(2), F.length(name) - 2), F.lit(":["))).otherwise(""), bare, F.when(F.col("_last"), "]").otherwise(""))
+    lines = marked.select("word", "block", opened.alias("value")).repartitionByRange("word", "block").sortWithinPartitions("word", "block")
+    lines.select("value").write.mode("overwrite").text(path)
 
 
 def write_weights(idf: DataFrame, path: str) -> None:

@@ -86,6 +86,43 @@ def test_crawl_rounds(spark):
     assert records.count() == 2
 
 
+def test_deep_crawl_with_retries(spark):
+    """Twelve rounds, one page each: places stay small; answers worth it are asked for again, twice at most."""
+    text = "<p>" + "word " * 30 + "</p>"
+    u = "https://en.wikipedia.org/{}".format
+    rows = [(u(k), f"<title>{k}</title>{text}<a href='{u(k + 1)}'>x</a>") for k in range(12)] + [(u(12), f"<title>end</title>{text}")]
+    web = spark.createDataFrame(rows, "url string, html string")
+    asked, waited = [], []
+
+    def fetch(frontier):
+        asked.append([r["url"] for r in frontier.collect()])
+        tries = {x: sum(x in a for a in asked) for x in asked[-1]}
+        status = F.when(F.col("url") == u(3), F.lit(503 if tries.get(u(3), 0) < 3 else 200)).when(F.col("url") == u("never"), 429).otherwise(200)
+        return frontier.join(web, "url", "left").select("url", status.alias("status"), F.lit("text/html").alias("content_type"), "html", F.lit(None).cast("string").alias("error"), F.lit("7" if u("never") in tries else None).alias("retry_after"))
+
+    seeds = spark.createDataFrame([(u(0), 18), (u("never"), 19)], "url string, place long")
+    records, failed = crawl.crawl(fetch, seeds, wait=waited.append)
+    assert sorted(r["url"] for r in records.collect()) == sorted(x for x, _ in rows)
+    assert [tuple(r) for r in failed.collect()] == [(u("never"), "status 429")]
+    assert asked.count([u("never")]) == 2 and asked.count([u(3)]) == 3 and waited[:2] == [7.0, 7.0] and len(waited) == 4
+
+
+def test_places_are_dense(spark):
+    rows = [(f"u{k}", "d", (k * 7919) % 1000 * 2**40) for k in range(50)]
+    got = crawl.dense_places(spark.createDataFrame(rows, "url string, domain string, place long")).orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(50)) and [r["url"] for r in got] == [r[0] for r in sorted(rows, key=lambda r: r[2])]
+
+
+def test_retry_plan_and_server_metrics(spark):
+    log = spark.createDataFrame([(1, "u", 503, 1), (1, "u", 503, 1), (2, "u", None, 2), (3, "u", 500, 3), (4, "v", 404, 1), (None, "v", 503, 1)], "fetch_id long, url string, status int, t long")
+    log = log.select("fetch_id", "url", "status", F.timestamp_seconds("t").alias("fetched_at"), F.timestamp_seconds("t").alias("written_at"))
+    assert sorted(map(tuple, crawl.retry_plan(log).collect())) == [(1, 0, True, 0.5), (2, 1, True, 1.0), (3, 2, False, None), (4, 0, False, None)]
+    asked = spark.createDataFrame([("/search", 200, "hit", 1.0), ("/api/search", 200, "miss", 3.0), ("/search", 500, "n/a", 2.0), ("/", 200, "hit", None), (None, None, None, None)], "path string, status int, cache_status string, latency double")
+    got = crawl.server_metrics(asked).first().asDict()
+    assert got == {"total_requests": 5, "search_requests": 3, "cache_hits": 1, "cache_misses": 1, "cache_shared": 0, "error_requests": 1, "mean_latency": 2.0, "max_latency": 3.0}
+    assert crawl.server_metrics(asked.limit(0)).first()["total_requests"] == 0
+
+
 def test_retries():
     assert [crawl.should_retry(s, 0) for s in (200, 404, 429, 503)] == [False, False, True, True]
     assert not crawl.should_retry(503, 2) and crawl.should_retry(None, 1, error=True)

@@ -28,7 +28,8 @@ def corpus(spark, rows):
 
 def results(spark, rows, query):
     q = spark.createDataFrame([(1, query)], "query_id long, query string")
-    found = rank.with_snippets(rank.top_k(rank.search(q, *corpus(spark, rows)), 100))
+    tables = corpus(spark, rows)
+    found = rank.with_snippets(rank.top_k(rank.search(q, *tables), 100), q, tables[2])
     return [(r["page_id"], r["score"], r["snippet"]) for r in found.orderBy("rank").collect()]
 
 

@@ -104,6 +104,39 @@ def test_engine(spark, tmp_path):
     assert first not in os.listdir(path) and engine.search_page("green1").total == 1
 
 
+def test_pages_beyond_the_kept_results(spark, tmp_path, monkeypatch):
+    """The driver gets the number of results and the first few; a page beyond them is fetched alone."""
+    from spindrift.plans import engine as module
+    from spindrift.plans import http
+
+    path = str(tmp_path / "ix")
+    rows = [(k, f"https://e.org/{k:02}", f"Tea {k}", f"tea green{k} leaf", "qa") for k in range(23)] + [(50 + k, f"https://f.org/{k}", "F", f"pad{k} word{k}", "qa") for k in range(60)]
+    store.write_index(_pages(spark, rows), spark.createDataFrame([], "from_page long, to_page long"), path, shards=4)
+    monkeypatch.setattr(module, "HEAD", 6)
+    engine = SearchEngine(spark, path)
+    sizes, plain = [], engine._rows
+    monkeypatch.setattr(engine, "_rows", lambda *a: sizes.append(len(out := plain(*a))) or out)
+    pages = [engine.search_page("tea", p, 5) for p in (1, 2, 5, 6)]
+    assert [len(p.results) for p in pages] == [5, 5, 3, 0] and {p.total for p in pages} == {23} and pages[0].pages(5) == 5
+    assert sizes == [6, 5, 3]
+    urls = [r["url"] for p in (engine.search_page("tea", n, 5) for n in range(1, 6)) for r in p.results]
+    assert urls == [f"https://e.org/{k:02}" for k in range(23)]
+    assert http.respond(engine, "/api/search?q=Tea&page=5&limit=5")[1]["total"] == 23 and http.respond(engine, "/search?q=")[0] == 422
+    assert http.respond(engine, "/search?q=tea&page=0")[0] == 422 and http.respond(engine, "/search?q=tea&limit=x")[0] == 422 and http.respond(engine, "/x")[0] == 404
+    server = http.serve(engine)
+    try:
+        import urllib.request
+
+        at = f"http://127.0.0.1:{server.server_address[1]}"
+        assert json.load(urllib.request.urlopen(f"{at}/api/health")) == {"status": "ok", "db_exists": True}
+        assert json.load(urllib.request.urlopen(f"{at}/")) == {"message": "API is running"}
+        got = json.load(urllib.request.urlopen(f"{at}/api/search?q=tea&limit=2"))
+        assert got["total"] == 23 and [r["url"] for r in got["results"]] == urls[:2]
+    finally:
+        server.shutdown()
+    assert engine.counters["requests"] == engine.counters["hit"] + engine.counters["miss"] + engine.counters["errors"]
+
+
 def test_failed_build_keeps_the_old_version(spark, tmp_path):
     path = str(tmp_path / "ix")
     good = [(0, "https://e.org/0", "T", "tea", "qa")]
