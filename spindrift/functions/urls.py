@@ -73,6 +73,12 @@ def strip_fragment_query(url: Column) -> Column:
     return F.substring_index(F.substring_index(url, "#", 1), "?", 1)
 
 
+def display_host(url: Column) -> Column:
+    """Host as a result card shows it: lower case, without user, port and leading ``www.``; null for what is no URL."""
+    host = F.regexp_replace(F.regexp_replace(F.lower(netloc(url)), r"^.*@", ""), r":\d*$", "")
+    return F.nullif(F.regexp_replace(host, r"^www\.", ""), F.lit(""))
+
+
 def detect_source(url: Column, markers=SOURCE_MARKERS) -> Column:
     """Source class of a URL: the first marker that its host contains."""
     host, out = netloc(url), F.lit("other")

@@ -16,7 +16,7 @@ from spindrift.operators import graph, index, rank
 from spindrift.schema import validate
 
 SHARDS = 64
-PATH_VARIABLE = "SEARCH_DB_PATH"
+PATH_VARIABLE, SOURCE_VARIABLE = "SEARCH_DB_PATH", "SEARCH_DB_URL"
 
 
 def index_path(path: str | None = None) -> str:
@@ -113,6 +113,28 @@ def open_index(spark: SparkSession, path: str) -> IndexTables:
     return IndexTables(read("pages"), read("postings"), read("idf"), read("stats"), read("links"), m["version"], m["shards"])
 
 
+def ensure_index(spark: SparkSession, path: str | None = None, source: str | None = None) -> str:
+    """The path of an index: if there is none, it is copied from ``source`` or the folder that ``SEARCH_DB_URL`` names.
+
+    The manifest is copied last, so a copy that breaks off is no index; what it left is removed.
+    """
+    path = index_path(path)
+    if current_version(spark, path) is not None:
+        return path
+    source = (source or os.environ.get(SOURCE_VARIABLE, "")).strip().rstrip("/")
+    version = current_version(spark, source) if source else None
+    if version is None:
+        raise FileNotFoundError(f"no index at {path}" + (f" nor at {source}" if source else f"; name one to copy in {SOURCE_VARIABLE}"))
+    (here, root), (there, data) = _fs(spark, f"{path}/{version}"), _fs(spark, f"{source}/{version}")
+    try:
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(there, data, here, root, False, spark._jsc.hadoopConfiguration())
+        _write_text(spark, f"{path}/manifest.json", _read_text(spark, f"{source}/manifest.json"))
+    except Exception:
+        here.delete(root, True)
+        raise
+    return path
+
+
 def postings_of(tables: IndexTables, words: list[str]) -> DataFrame:
     """Posting rows of some words: only their shards are listed, and the words reach the scan as a filter."""
     import zlib

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +64,24 @@ def write_records(records: DataFrame, path: str, mode: str = "append") -> None:
     records.write.mode(mode).json(path, ignoreNullFields=False)
 
 
+def write_json_array(records: DataFrame, path: str) -> None:
+    """Records in the oldest format: each part file is one JSON array, two spaces deep; ``read_json_array`` reads them all.
+
+    A record is a text of its own, so no array is put together in memory; a part without records is an empty array.
+    """
+    text = F.regexp_replace(F.to_json(F.struct(*records.columns), {"pretty": "true", "ignoreNullFields": "false"}), "(?m)^", "  ")
+
+    def bracket(parts):
+        held = ["["]
+        for pdf in parts:
+            for x in pdf["value"]:
+                yield pd.DataFrame({"value": held})
+                held = [x + ","]
+        yield pd.DataFrame({"value": ["[]"] if held == ["["] else [held[0][:-1], "]"]})
+
+    records.select(text.alias("value")).mapInPandas(bracket, "value string").write.mode("overwrite").text(path)
+
+
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
     """Records of the oldest format, one JSON array a file."""
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"array<{PAGE_RECORD.simpleString()}>")).alias("_r"))

@@ -113,3 +113,9 @@ def test_page_items():
     assert show(10, 20) == "1 … 9 10 11 … 20"
     assert show(20, 20) == "1 … 17 18 19 20"
     assert T.cache_key("  What   IS x ") == "what is x"
+
+
+def test_display_host(spark):
+    cases = {"https://www.Example.org:80/a": "example.org", "http://u@m.example.org": "m.example.org", "no url": None, "": None, None: None}
+    got = spark.createDataFrame([(k,) for k in cases], "u string").select("u", U.display_host(F.col("u")).alias("h")).collect()
+    assert {r["u"]: r["h"] for r in got} == cases

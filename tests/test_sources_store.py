@@ -46,6 +46,69 @@ def test_record_sinks(spark, tmp_path, lines):
     assert [r["url"] for r in jsonl.read_json_array(spark, str(tmp_path / "old.json")).collect()] == ["a", "b"]
 
 
+def test_json_arrays(spark, tmp_path):
+    df = spark.createDataFrame([(f"u{k}", 'a "b"\nç' if k else None, ["x"] * k) for k in range(5)], "url string, title string, links array<string>").repartition(3)
+    jsonl.write_json_array(df, str(tmp_path / "arrays"))
+    parts = [json.loads(p.read_text()) for p in sorted((tmp_path / "arrays").glob("part-*"))]
+    assert sorted(r["url"] for p in parts for r in p) == [f"u{k}" for k in range(5)]
+    back = jsonl.read_json_array(spark, str(tmp_path / "arrays")).select("url", "title", "links")
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    one = next(p for p in (tmp_path / "arrays").glob("part-*") if "u0" in p.read_text()).read_text()
+    assert one.startswith("[\n  {\n    \"url\"") and one.endswith("}\n]\n")
+
+
+def test_lists_in_blocks_are_one_list_each(spark, tmp_path):
+    postings = spark.createDataFrame([("tea", k, 1 + k % 3) for k in range(0, 50, 3)] + [("x", 40, 1)], "word string, page_id long, frequency int")
+    lists = index.posting_lists(postings, block=10)
+    assert lists.where("word = 'tea'").count() == 5 and lists.selectExpr("max(size(postings))").first()[0] <= 10
+    index_json.write_postings(lists, str(tmp_path / "parts"))
+    index_json.join_entries(str(tmp_path / "parts"), str(tmp_path / "index.json"))
+    assert json.loads((tmp_path / "index.json").read_text()) == {"tea": [[k, 1 + k % 3] for k in range(0, 50, 3)], "x": [[40, 1]]}
+
+
+def test_http_fetcher(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from spindrift.sources import http_fetch
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):
+            status = {"/busy": 503, "/gone": 404}.get(self.path, 200)
+            self.send_response(status)
+            self.send_header("Content-Type", "image/png" if self.path == "/png" else "text/html; charset=utf-8")
+            if status == 503:
+                self.send_header("Retry-After", "3")
+            self.end_headers()
+            self.wfile.write("<title>é</title>".encode() + b"\xff")
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{server.server_address[1]}"
+        urls = [f"{at}/", f"{at}/png", f"{at}/busy", f"{at}/gone", "http://127.0.0.1:1/"]
+        got = {r["url"].removeprefix(at): r for r in http_fetch.http_fetcher(host_delay=0.01)(spark.createDataFrame([(u,) for u in urls], "url string")).collect()}
+    finally:
+        server.shutdown()
+    assert (got["/"]["status"], got["/"]["html"]) == (200, "<title>é</title>") and (got["/png"]["status"], got["/png"]["html"]) == (200, None)
+    assert (got["/busy"]["status"], got["/busy"]["retry_after"]) == (503, "3") and (got["/gone"]["status"], got["/gone"]["error"]) == (404, "status 404")
+    assert got["http://127.0.0.1:1/"]["status"] is None and got["http://127.0.0.1:1/"]["error"] == "URLError"
+
+
+def test_index_is_copied_where_none_is(spark, tmp_path, monkeypatch):
+    source, path = str(tmp_path / "there"), str(tmp_path / "here")
+    monkeypatch.delenv("SEARCH_DB_URL", raising=False)
+    with pytest.raises(FileNotFoundError, match="SEARCH_DB_URL"):
+        store.ensure_index(spark, path)
+    version = store.write_index(_pages(spark, [(0, "https://e.org/0", "T", "tea", "qa")]), spark.createDataFrame([], "from_page long, to_page long"), source, shards=2)
+    monkeypatch.setenv("SEARCH_DB_URL", source)
+    assert store.ensure_index(spark, path) == path and store.current_version(spark, path) == version
+    assert store.open_index(spark, path).pages.count() == 1 and store.ensure_index(spark, path, "nowhere") == path
+
+
 def test_index_exchange_files(spark, tmp_path):
     p = spark.createDataFrame([(0, "tea \"x tea", 3), (1, "tea über", 2), (2, "", 0)], "id long, content string, length int")
     postings = index.term_frequency(p)
