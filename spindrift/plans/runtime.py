@@ -43,20 +43,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path under the shared folder, which ``release`` deletes."""
+    path = f"{shared_dir(spark).rstrip('/')}/spindrift/{label}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and return the table read back.
 
     Cuts lineage like a reliable checkpoint does, but compressed and with column pruning; it outlives any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/spindrift/{label}-{uuid.uuid4().hex}"
-    _written[path] = spark
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession | None = None) -> None:
-    """Delete the tables that ``materialize`` wrote (of one session, or all)."""
+    """Delete what was written under scratch paths (of one session, or all)."""
     for path, owner in list(_written.items()):
         if spark is None or owner is spark:
             _written.pop(path)
@@ -77,10 +83,10 @@ def counted(df: DataFrame, label: str = "counted") -> tuple[DataFrame, int]:
     return table, table.count()
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS, label: str = "small") -> DataFrame:
-    """Join ``big`` with a side that is usually small: broadcast if its counted rows allow it, else shuffled with hot keys split."""
+def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int | None = None, label: str = "small") -> DataFrame:
+    """Join ``big`` with a side that is usually small: broadcast if its counted rows (at most ``rows``, or ``BROADCAST_ROWS``) allow it, else shuffled with hot keys split."""
     table, n = counted(small, label)
-    if n <= rows:
+    if n <= (BROADCAST_ROWS if rows is None else rows):
         return big.join(F.broadcast(table), on, how)
     return join_split(big, table, on, how)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from spindrift.functions.html import extract_html
 from spindrift.functions.html import page_records as html_records
 from spindrift.operators import crawl, graph, index, rank
 from spindrift.plans import hot_words
-from spindrift.plans.runtime import distinct_pages, materialize, shared_dir
+from spindrift.plans.runtime import distinct_pages, materialize, scratch_path
 from spindrift.schema import violations
 from spindrift.sources import index_json, jsonl
 from spindrift.streaming.ingest import windowed_requests
@@ -259,7 +258,7 @@ def resolved_links(spark, d):
 
 def jsonl_round_trip(spark, d):
     """Pages written as JSON lines and read again: ids are dense in the order of the file."""
-    path = f"{shared_dir(spark).rstrip('/')}/spindrift/lines-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "lines")
     rows = _pages(spark, d).where("url is not null")
     jsonl.write_records(rows.select("url", "title", F.col("content").alias("text"), "source", F.array().cast("array<string>").alias("links")), path)
     back = jsonl.pages_table(jsonl.read_pages(spark, path))
@@ -269,7 +268,7 @@ def jsonl_round_trip(spark, d):
 
 def shard_round_trip(spark, d):
     """Postings written as shard files and read again, summed up by word."""
-    path = f"{shared_dir(spark).rstrip('/')}/spindrift/shards-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "shards")
     index_json.write_shards(index.term_frequency(_pages(spark, d)), path, 16)
     back = index_json.read_shards(spark, path)
     return back.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("frequency").alias("total"), F.sum(F.col("page_id") * F.col("frequency")).alias("mass"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.operators.eager import eager_join_aggregate
 from spindrift.operators.postings import valid_postings
-from spindrift.plans import hot_words
+from spindrift.plans import hot_words, runtime
 from spindrift.plans.runtime import hot_keys, join_checked, join_split, shared_dir
 
 
@@ -71,3 +71,21 @@ def test_hot_words(spark):
 
 def test_shared_dir_needs_a_setting_on_a_cluster(spark):
     assert shared_dir(spark)
+
+
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_one_row_a_page(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", broadcast_rows)
+    rows = [(1, "a", None), (1, "a", None), (2, "b", "x"), (3, None, None), (4, "c", "y"), (4, "b", "z"), (None, "d", "d"), (None, "d", "d")]
+    pages = spark.createDataFrame(rows, "id long, url string, content string").withColumn("extra", F.lit(1))
+    got = sorted(map(tuple, runtime.distinct_pages(pages, "url", "content").collect()), key=str)
+    assert got == sorted([(1, "a", None), (2, "b", "x"), (3, None, None), (4, "b", "z")], key=str)
+    assert runtime.distinct_pages(pages.limit(0), "url").collect() == []
+
+
+def test_hot_words_beyond_the_broadcast_limit(spark, monkeypatch):
+    index = spark.createDataFrame([("page", k, k % 5 + 1) for k in range(40)] + [("tea", 3, 9), ("cup", 99, 9)], "word string, page_id long, frequency int").withColumn("indexed_at", F.expr("timestamp '2024-01-01'"))
+    pages = spark.createDataFrame([(k,) for k in range(50)], "id long")
+    plain = sorted(map(tuple, hot_words.leading_pages(index, pages).collect()))
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, hot_words.leading_pages(index, pages).collect())) == plain == [("page", 4), ("tea", 3)]
