@@ -243,6 +243,20 @@ def test_near_duplicates_of_nothing(spark):
     assert near_duplicates.similar_pairs(frame(spark, [])).collect() == []
 
 
+def test_no_side_is_small_enough_to_be_broadcast(spark, monkeypatch):
+    """Beyond the limits every checked join is a shuffle with split hot keys; the rows are the same."""
+    from spindrift.plans import runtime
+
+    site, edited = site_rows(), edited_rows()
+    with monkeypatch.context() as m:
+        m.setattr(runtime, "BROADCAST_ROWS", 0)
+        m.setattr(repeated_lines, "BROADCAST_SOURCES", 0)
+        m.setattr(near_duplicates, "BROADCAST_ROWS", 0)
+        assert {tuple(r) for r in repeated_lines.find_repeated(frame(spark, site), 4, 0.1).collect()} == brute_repeated(site, 4, 0.1)
+        shuffled = {tuple(r) for r in near_duplicates.similar_pairs(frame(spark, edited)).collect()}
+    assert shuffled == {tuple(r) for r in near_duplicates.similar_pairs(frame(spark, edited)).collect()}
+
+
 def copied_site(n_copies=20, n_own=40):
     """Pages of one host: own articles, and copies of one article with a line changed in some; each row may be repeated."""
     rng = random.Random(5)

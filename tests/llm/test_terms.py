@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.llm import distinctive, frequencies
+from spindrift.plans import runtime
 
 ROWS = [("tea", 1, 3), ("leaf", 1, 1), ("tea", 2, 1), ("cup", 2, 1), ("cup", 3, 2), ("tea", 3, 2), ("solo", 4, 7)]
 
@@ -44,7 +45,9 @@ def test_divergence_of_nothing_and_ties(spark):
     assert sorted((r["page_id"], r["word"]) for r in distinctive.top_terms(scored).collect()) == [(1, "a"), (2, "z")]
 
 
-def test_most_telling(spark):
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_most_telling(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", broadcast_rows)
     t = "timestamp '2024-01-01'"
     index = spark.createDataFrame([("Tea", 1, 2), ("leaf", 1, 3), ("none", 1, 99), ("tea", 2, 1), (None, 2, 1), ("leaf", 8, 1)], "word string, page_id long, frequency int").withColumn("indexed_at", F.expr(t))
     pages = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "id long")
