@@ -31,8 +31,11 @@ LONG_LINE = 150
 _SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 _NO_LETTERS = r"[^\p{L}\p{M}]+"
 #: A sentence's end, a list item, a quotation, a line of program code.
-_SENTENCE = rf"[.!。！।؟][\"”')\]]*[{_SPACE}]*$"
+_BLANKS = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_ENDS, _CLOSERS = (".", "!", "。", "！", "।", "؟"), "\"”')]"
 _ITEM = rf"^[{_SPACE}]*(?:[-*•+][{_SPACE}]+|\d+[.)][{_SPACE}]+|[\"“>])"
+#: Marks without one of which a line isn't code.
+_CODE_MARK = r"[(;{}$&|=<]"
 _CODE = rf"\w\(|[;{{}}][{_SPACE}]*$|^[{_SPACE}]*\$[{_SPACE}]|[&|]{{2}}|==|=>|</|\w=\w"
 #: Marks that part the entries of trails, pagers, tag lists and menus.
 _PARTS = rf",|[|»«›‹→·/]|<<|>>|[{_SPACE}](?:>|--|-)[{_SPACE}]"
@@ -114,6 +117,11 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:www\.|m\.)?([^/:?#]+)", 1), F.lit(""))
 
 
+def _ends_sentence(text: Column) -> Column:
+    """Whether a line ends like a sentence, closing quotes, brackets and white space aside; only its end is looked at."""
+    return F.right(F.rtrim(F.rtrim(text, F.lit(_BLANKS)), F.lit(_CLOSERS)), F.lit(1)).isin(*_ENDS)
+
+
 def _subject(title: Column, content: Column) -> Column:
     """The title's word that is most frequent in the content's long lines, or else in all: what the page is about (null without such a word).
 
@@ -147,9 +155,10 @@ def page_nodes(pages: DataFrame) -> DataFrame:
         F.transform("_lines", lambda x, i: F.struct((i + 1).alias("no"), x["text"].alias("text"), F.trim(x["letters"]).alias("letters"))),
         lambda x: x["text"].rlike(rf"[^{_SPACE}]"),
     )
-    body = lambda t: t.rlike(_SENTENCE) | t.rlike(_ITEM) | t.rlike(_CODE)
+    body = lambda t: _ends_sentence(t) | t.rlike(_ITEM) | (t.rlike(_CODE_MARK) & t.rlike(_CODE))
     rows = rows.withColumn("_nodes", nodes).withColumn("_kinds", F.array_join(F.transform("_nodes", lambda x: F.when(body(x["text"]), "b").otherwise("s")), ""))
-    out = rows.select("page_id", "host", "_subject", "_title", "_kinds", F.posexplode("_nodes").alias("_pos", "_n"))
+    # Outer, because for the inner one the optimizer works the whole array out once more in a filter, to drop pages without lines.
+    out = rows.select("page_id", "host", "_subject", "_title", "_kinds", F.posexplode_outer("_nodes").alias("_pos", "_n")).where("_n is not null")
     letters, text = F.col("_n.letters"), F.col("_n.text")
     words = F.length(letters) - F.length(F.translate(letters, " ", "")) + 1
     body_ = F.substring("_kinds", F.col("_pos") + 1, F.lit(1)) == "b"
