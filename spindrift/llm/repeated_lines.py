@@ -22,9 +22,11 @@ def _lines(content: Column) -> Column:
 def line_table(pages: DataFrame) -> DataFrame:
     """page_id, source, line_no, node, next: the lines that count; ``node`` is the hash of a line's letters, ``next`` the node of the line that follows."""
     rows = pages.where("id is not null and content <> ''").select(F.col("id").alias("page_id"), source_name(F.col("source")).alias("source"), _lines(F.col("content")).alias("_l"))
-    rows = rows.select("page_id", "source", F.transform("_l", lambda x: F.struct(x["line_no"].alias("no"), F.xxhash64(x["key"]).alias("node"))).alias("_n")).where(F.size("_n") > 0)
-    after = F.concat(F.slice(F.col("_n.node"), F.lit(2), F.size("_n")), F.array(F.lit(None).cast("long")))
-    lines = rows.select("page_id", "source", F.explode(F.arrays_zip(F.col("_n.no").alias("no"), F.col("_n.node").alias("node"), after.alias("next"))).alias("_l"))
+    rows = rows.select("page_id", "source", F.transform("_l", lambda x: F.struct(x["line_no"].alias("no"), F.xxhash64(x["key"]).alias("node"))).alias("_n"))
+    after = F.concat(F.slice(F.col("_n.node"), F.lit(2), F.greatest(F.size("_n"), F.lit(1))), F.array(F.lit(None).cast("long")))
+    # Outer, because for the inner one the optimizer works the whole array out once more in a filter, to drop pages without lines.
+    each = F.explode_outer(F.arrays_zip(F.col("_n.no").alias("no"), F.col("_n.node").alias("node"), after.alias("next")))
+    lines = rows.select("page_id", "source", each.alias("_l")).where("_l is not null")
     return lines.select("page_id", "source", F.col("_l.no").alias("line_no"), F.col("_l.node").alias("node"), F.col("_l.next").alias("next"))
 
 
