@@ -72,12 +72,13 @@ def shingles(text: str, words: _Words, n: int = 3) -> np.ndarray:
 def _features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     words = _Words()
     for pdf in parts:
-        ids, sums, xors, symbols = [], [], [], []
+        ids, sizes, sums, xors, symbols = [], [], [], [], []
         for i, text in zip(pdf["page_id"].tolist(), pdf["content"]):
             s = shingles(text, words)
             if not len(s):
                 continue
             ids.append(i)
+            sizes.append(len(s))
             sums.append(s.sum(dtype=np.uint64))
             xors.append(np.bitwise_xor.reduce(_mix(s)))
             symbols.append(((s[:, None] * _MUL + _ADD) >> np.uint64(32)).min(axis=0))
@@ -93,6 +94,7 @@ def _features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "page_id": ids,
+                "size": np.array(sizes, np.int32),
                 "set_a": np.array(sums, np.uint64).view(np.int64),
                 "set_b": np.array(xors, np.uint64).view(np.int64),
                 "bits_a": bits[:, 0].view(np.int64),
@@ -104,9 +106,9 @@ def _features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fingerprints(pages: DataFrame) -> DataFrame:
-    """page_id, set_a, set_b (identity of the set of sequences), bits_a, bits_b (3 bits a symbol), print (a byte a symbol), keys (the ball of each segment)."""
+    """page_id, size (number of sequences), set_a, set_b (identity of the set of sequences), bits_a, bits_b (3 bits a symbol), print (a byte a symbol), keys (the ball of each segment)."""
     rows = pages.where("id is not null and content <> ''").select(F.col("id").alias("page_id"), "content")
-    return rows.mapInPandas(_features, "page_id long, set_a long, set_b long, bits_a long, bits_b long, print binary, keys array<long>")
+    return rows.mapInPandas(_features, "page_id long, size int, set_a long, set_b long, bits_a long, bits_b long, print binary, keys array<long>")
 
 
 def candidate_pairs(prints: DataFrame, most_bits: int = 44, bucket: int = BUCKET, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -168,11 +170,13 @@ def similar_classes(pages: DataFrame, threshold: float = 0.7, least_symbols: int
     own = prints.join(reps.select(F.col("rep").alias("page_id")), "page_id", "left_semi")
     own = materialize(own, "representatives")
     pairs, n = counted(candidate_pairs(own), "candidates")
-    codes = own.select("page_id", "print").groupBy("page_id").agg(F.min("print").alias("print"))
-    with_a = pairs.join(codes.select(F.col("page_id").alias("a"), F.hex("print").alias("_pa")), "a")
-    with_b = with_a.join(codes.select(F.col("page_id").alias("b"), F.hex("print").alias("_pb")), "b")
+    codes = own.groupBy("page_id").agg(F.min("print").alias("print"), F.min("size").alias("size"), F.max("size").alias("most"))
+    with_a = pairs.join(codes.select(F.col("page_id").alias("a"), F.hex("print").alias("_pa"), F.col("size").alias("_sa"), F.col("most").alias("_ma")), "a")
+    with_b = with_a.join(codes.select(F.col("page_id").alias("b"), F.hex("print").alias("_pb"), F.col("size").alias("_sb"), F.col("most").alias("_mb")), "b")
+    # Sets can't be more similar than the smaller is to the larger by size: an exact test that spares the texts of the rest.
+    by_size = (F.col("_ma") >= (threshold - 1e-9) * F.col("_sb")) & (F.col("_mb") >= (threshold - 1e-9) * F.col("_sa"))
     agree = sum((F.substring("_pa", 2 * k + 1, 2) == F.substring("_pb", 2 * k + 1, 2)).cast("int") for k in range(SYMBOLS))
-    near = materialize(with_b.where(agree >= least_symbols).select("a", "b"), "near")
+    near = materialize(with_b.where(by_size & (agree >= least_symbols)).select("a", "b"), "near")
     needed = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     rows = pages.where("id is not null and content <> ''").select("id", "content")
     texts = materialize(join_checked(rows, needed, ["id"], label="needed").groupBy("id").agg(F.min("content").alias("content")), "texts")
